@@ -15,6 +15,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_document_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventide.llm.html_blocks import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_pii_labelers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventide.llm.pii_labelers import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventide.llm.bpe_chunks import encode_documents
 
@@ -22,7 +34,7 @@ def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op9_bpe_chunks)}
+    return {f.__name__: f for f in (op1_token_counts, op2_html_blocks, op7_pii_labelers, op9_bpe_chunks)}
 
 
 def oracle_sql() -> dict[str, str]:
