@@ -27,14 +27,26 @@ def op7_pii_labelers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventide.llm.license_index import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventide.llm.bpe_chunks import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventide.llm.quality_rules import apply_quality_rules
+
+    return apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_html_blocks, op7_pii_labelers, op9_bpe_chunks)}
+    return {f.__name__: f for f in (op1_token_counts, op2_html_blocks, op7_pii_labelers, op8_license_index, op9_bpe_chunks, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
