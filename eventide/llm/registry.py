@@ -21,6 +21,18 @@ def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventide.llm.toxicity_neighbours import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventide.llm.subword_quality import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii_labelers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventide.llm.pii_labelers import find_personal_data
 
@@ -46,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_html_blocks, op7_pii_labelers, op8_license_index, op9_bpe_chunks, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_html_blocks, op3_toxicity_neighbours, op6_subword_quality, op7_pii_labelers, op8_license_index, op9_bpe_chunks, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
