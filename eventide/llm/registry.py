@@ -27,6 +27,12 @@ def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventide.llm.decontamination import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventide.llm.subword_quality import classify_quality
 
@@ -58,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_html_blocks, op3_toxicity_neighbours, op6_subword_quality, op7_pii_labelers, op8_license_index, op9_bpe_chunks, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_html_blocks, op3_toxicity_neighbours, op4_decontamination, op6_subword_quality, op7_pii_labelers, op8_license_index, op9_bpe_chunks, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
