@@ -33,6 +33,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventide.llm.bagminhash import find_near_duplicates
+
+    return find_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventide.llm.subword_quality import classify_quality
 
@@ -64,7 +70,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_html_blocks, op3_toxicity_neighbours, op4_decontamination, op6_subword_quality, op7_pii_labelers, op8_license_index, op9_bpe_chunks, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_html_blocks, op3_toxicity_neighbours, op4_decontamination, op5_bagminhash, op6_subword_quality, op7_pii_labelers, op8_license_index, op9_bpe_chunks, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
