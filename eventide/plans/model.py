@@ -267,17 +267,25 @@ def search(data: Data, rules: Sequence[Rule], max_rules: int = 2, tolerance: flo
 
 
 def entity_gains(data: Data, base: Fit, full: Fit) -> DataFrame:
-    """e, gain (null less full loss) and score (direction of the full predictor at the null), over active rows only.
+    """e, gain (null less full loss) and score (direction of the full predictor at the null) over all rows of e.
 
-    Rows that no rule reaches differ by the change of their baseline alone; both baselines are the null's here, so
-    nothing but active rows is listed.
+    What both baselines differ by is summed in closed form from exposure and events per entity and cell; only rows
+    that a rule reaches are listed, for the rest of the difference.
     """
-    rows = P.with_targets(data.active(full.rules), data.targets).join(data.entities.select("e", "stratum"), "e")
-    table = data.entities.sparkSession.createDataFrame([(s, c, v) for (s, c), v in base.cells.items()], "stratum int, cell int, b double")
-    rows = rows.withColumn("cell", P.cell(data.bins)).join(F.broadcast(table), ["stratum", "cell"])  # one row per cell
-    extra = sum((float(w) * F.col(f"x{k}") for k, w in enumerate(full.beta)), F.lit(0.0))
-    gain = F.exp("b") - F.exp(F.col("b") + extra) + F.col("n") * extra
-    return rows.groupBy("e").agg(F.sum(gain).alias("gain"), F.sum((F.col("n") - F.exp("b")) * extra).alias("score"))
+    cells = sorted({*base.cells, *full.cells})
+    table = data.entities.sparkSession.createDataFrame([(s, c, base.cells.get((s, c), -20.0), full.cells.get((s, c), -20.0)) for s, c in cells], "stratum int, cell int, b0 double, b1 double")
+    table = F.broadcast(table)  # one row per cell
+    stratum = data.entities.select("e", "stratum")
+    held = P.baseline_segments(data.entities, data.bins).groupBy("e", "cell").agg(F.sum(F.col("stop") - F.col("begin")).alias("exposure"))
+    seen = data.targets.groupBy("e", P.cell(data.bins, "t").alias("cell")).agg(F.sum("mult").alias("n"))
+    whole = held.join(seen, ["e", "cell"], "left").join(stratum, "e").join(table, ["stratum", "cell"]).withColumn("n", F.coalesce("n", F.lit(0)))
+    shift = F.col("b1") - F.col("b0")
+    parts = whole.select("e", (F.col("exposure") * (F.exp("b0") - F.exp("b1")) + F.col("n") * shift).alias("gain"), ((F.col("n") - F.col("exposure") * F.exp("b0")) * shift).alias("score"))
+    if full.rules:
+        extra = sum((float(w) * F.col(f"x{k}") for k, w in enumerate(full.beta)), F.lit(0.0))
+        rows = P.with_targets(data.active(full.rules), data.targets).join(stratum, "e").withColumn("cell", P.cell(data.bins)).join(table, ["stratum", "cell"])
+        parts = parts.unionByName(rows.select("e", (F.exp("b1") - F.exp(F.col("b1") + extra) + F.col("n") * extra).alias("gain"), ((F.col("n") - F.exp("b0")) * extra).alias("score")))
+    return parts.groupBy("e").agg(F.sum("gain").alias("gain"), F.sum("score").alias("score"))
 
 
 @dataclass
