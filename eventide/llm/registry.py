@@ -73,5 +73,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_html_blocks, op3_toxicity_neighbours, op4_decontamination, op5_bagminhash, op6_subword_quality, op7_pii_labelers, op8_license_index, op9_bpe_chunks, op10_quality_rules)}
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP4 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS x FROM (SELECT id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
+dw AS (SELECT rid, k, s, array_to_string(list_slice(w, s, s + k - 1), ' ') AS x FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM win))),
+hit AS (SELECT DISTINCT rid, k, s, id FROM dw JOIN win USING (k, x)),
+pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + k)) AS p FROM hit) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, id FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where a whole result can be told in it; the other queries rest on trained models, tokenizers or parsers."""
+    return {"op4_decontamination": _OP4}
