@@ -142,3 +142,37 @@ def simplex_mixture(columns: np.ndarray, linear: np.ndarray, counts: np.ndarray,
             break
         w, now, step = new, after, min(step * 2, 8.0)
     return w
+
+
+def effective_dimension(scores: np.ndarray, hessian: np.ndarray, columns: slice = slice(None)) -> float:
+    """trace(H^-1 M) over some columns, with M the sum over clusters of outer products of their scores.
+
+    scores: clusters by parameters, as Spark sums them; dependent rows of a cluster count as one.
+    """
+    meat = scores.T @ scores
+    return float(np.trace(np.linalg.solve(hessian, meat)[columns, columns]))
+
+
+def two_way_dimension(by_entity: np.ndarray, by_tick: np.ndarray, by_both: np.ndarray, hessian: np.ndarray) -> float:
+    """Clusters that cross: entities and ticks, less what is in both."""
+    return sum(sign * effective_dimension(s, hessian) for s, sign in ((by_entity, 1), (by_tick, 1), (by_both, -1)))
+
+
+def poisson_lower_bound(x: np.ndarray, cell: np.ndarray, exposure: np.ndarray, events: np.ndarray, base: np.ndarray, beta: np.ndarray, slack: float = 1e-9) -> float:
+    """A lower bound on the Poisson loss over all baselines and coefficients >= 0, from a near-optimal point.
+
+    The point's rates, scaled per cell to the cell's events, are dual feasible when no coefficient could still gain
+    by growing; then sum(rate - rate * log(rate / exposure)) bounds the loss. Otherwise the bound is -inf.
+    """
+    rate = exposure * np.exp(base[cell] + x @ beta)
+    have, want = np.bincount(cell, rate, len(base)), np.bincount(cell, events, len(base))
+    rate = rate * (want / np.maximum(have, 1e-300))[cell]
+    if x.shape[1] and (x.T @ (rate - events)).min() < -slack * max(1.0, events.sum()):
+        return -math.inf
+    live = rate > 0
+    return float((rate[live] - rate[live] * np.log(rate[live] / exposure[live])).sum())
+
+
+def unbounded_axes(x: np.ndarray, events: np.ndarray) -> np.ndarray:
+    """Columns whose coefficient could grow without end: they only lower rates, and never where events are."""
+    return np.array([(c <= 0).all() and (c < 0).any() and not events[c < 0].any() for c in x.T])

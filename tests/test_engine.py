@@ -253,3 +253,26 @@ def test_certified_search_on_planted_rule(spark):
     got = L.certify(x.only(1), L.fit(fitting, ()), records[:1], resamples=500)
     assert got[0].certified and got[0].p_adjusted >= got[0].p_max
     assert isinstance(pd.DataFrame([vars(got[0])]), pd.DataFrame)
+
+
+def test_effective_dimension_counts_parameters():
+    rng = np.random.default_rng(4)
+    scores = rng.normal(size=(5000, 3))
+    assert I.effective_dimension(scores, 5000 * np.eye(3)) == pytest.approx(3, abs=0.2)
+    assert I.two_way_dimension(scores, scores, scores, 5000 * np.eye(3)) == pytest.approx(3, abs=0.2)
+
+
+def test_lower_bound_meets_the_optimum():
+    rng = np.random.default_rng(6)
+    x, cell, exposure = rng.choice([0.0, 0.5, 1.0], size=(300, 2)), rng.integers(0, 3, 300), np.full(300, 20.0)
+    events = rng.poisson(exposure * np.exp(-2 + 0.6 * x[:, 0])).astype(float)
+    base, beta, nll, ok = L.newton(x, cell, exposure, events)
+    bound = I.poisson_lower_bound(x, cell, exposure, events, base, beta, 1e-6)
+    assert ok and nll - 1e-3 < bound <= nll + 1e-6
+    assert I.poisson_lower_bound(x, cell, exposure, events, base, 0 * beta) == -math.inf
+
+
+def test_unbounded_axes():
+    x = np.array([[-1.0, 1.0, -1.0], [0.0, 0.0, 0.0]])
+    assert I.unbounded_axes(x, np.array([0.0, 2.0])).tolist() == [True, False, True]
+    assert not I.unbounded_axes(x, np.array([1.0, 2.0])).any()
