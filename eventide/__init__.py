@@ -1,0 +1,21 @@
+"""Temporal rule analytics on Spark."""
+
+from __future__ import annotations
+
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
+ROOT = Path(__file__).resolve().parents[1]
+
+
+def ship(spark) -> None:
+    """Send this package to the executors once, unless they can import it from where the driver does."""
+    context = spark.sparkContext
+    known = {str(Path(p).resolve()) for p in [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]}
+    if str(ROOT) in known or getattr(context, "_eventide_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(os.path.realpath(tempfile.mkdtemp()), "eventide"), "zip", ROOT, "eventide")
+    context.addPyFile(archive)
+    context._eventide_shipped = True
