@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventide.llm.bagminhash import drop_near_duplicates
 from eventide.llm.bpe_chunks import encode_documents
-from eventide.llm.common import staged, table
+from eventide.llm.common import small_batches, staged, table
 from eventide.llm.decontamination import drop_contaminated
 from eventide.llm.pii_labelers import redact
 from eventide.llm.toxicity_neighbours import drop_toxic
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return drop_toxic(docs, table(spark, sf_dir, "labels"), docs.columns)
 
 
@@ -34,6 +35,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return encode_documents(docs)
 
 

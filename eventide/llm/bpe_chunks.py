@@ -23,10 +23,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from eventide.llm.common import pieces
+
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: A chunk ends at a space or line feed where the hash of the CUT_SPAN characters before it is 0 modulo CUT_EVERY.
 CUT_SPAN, CUT_EVERY = 8, 128
-CHUNKS_KEPT, PIECES_KEPT = 20_000, 250_000
+#: What a worker remembers: some tens of MB together.
+CHUNKS_KEPT, PIECES_KEPT, JOINS_KEPT = 4_000, 100_000, 20_000
 
 
 class Pieces(dict):
@@ -126,7 +129,7 @@ class ChunkCoder:
         if ok is None:
             a, b, both = self.pieces[left], self.pieces[right], self.whole(f"{left} {right}")
             ok = both[:2] == (a[0] + b[0], " ".join(x for x in (a[1], b[1]) if x))
-            if len(self.joins) >= PIECES_KEPT:
+            if len(self.joins) >= JOINS_KEPT:
                 self.joins.clear()
             self.joins[key] = ok
         return ok
@@ -171,7 +174,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 n, ids, shown = code.encode(text.as_py() or "")

@@ -18,10 +18,24 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 1 << 20
 
 
+#: Rows in an Arrow batch at most: texts are a few KB each, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 1_000
+# Python workers live on between stages; the system allocator gives freed batches back to the machine.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches at BATCH_ROWS rows or fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
@@ -39,6 +53,7 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
     A lost executor costs at most the tasks that still read this table, never what came before.
     """
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

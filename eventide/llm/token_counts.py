@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from eventide.llm.common import pieces, staged
 
 BLOCK_TOKENS = 1 << 18
-PIECES_KEPT = 250_000
+PIECES_KEPT = 100_000
 BLOCKS = "file_id string, block_no bigint, data binary"
 
 
