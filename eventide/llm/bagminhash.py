@@ -12,12 +12,19 @@ only until its next point is later than all of the text's slots. The processes o
 together, one point per round.
 
 Candidates: BANDS bands of ROWS slots; at 0.8 a pair misses all bands with a probability of 5e-8. Exact copies of
-a text are one representative from the beginning. In each bucket the texts are first compared with two leaders;
-verified links are contracted into classes; then all pairs of different classes that share a bucket and whose
-signatures agree in MIN_AGREE slots (at 0.8, six standard deviations below) are verified too, in blocks of
-BUCKET_BLOCK texts, so that no link between different texts is lost and no group of copies is expanded into
-pairs. Verification compares whole multisets. Classes are connected components of verified links, found by
-alternating large and small stars.
+a text are one representative from the beginning. Pairs whose signatures agree in fewer than MIN_AGREE slots are
+not candidates (at 0.8, four and a half standard deviations below). Every text is paired with the leader of each
+of its buckets. The best of these pairs are verified and contracted into classes; all of them, verified or not,
+make clusters. Then nothing is left out:
+
+* inside a cluster, each text outside the cluster's largest class meets all texts of other classes. Texts meet in
+  blocks of bounded size within a task, which compares signatures, then whole multisets, and returns one link for
+  each text and class, so no pairs are written out;
+* texts of different clusters that share a bucket are compared by signature, in blocks too, and the few pairs that
+  pass are verified.
+
+So no link between different texts is lost and no group of copies is expanded into pairs. Classes are connected
+components of verified links, found by alternating large and small stars.
 
 Null is an empty text; texts without words have no shingles and link to nothing but exact copies. Repeated rows
 are copies. Rows without an id take part; a class is named by the smallest id in it (null if there is none).
@@ -30,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventide.llm.common import pieces, staged
@@ -38,8 +46,12 @@ from eventide.llm.textscan import _U, mix, windows, words
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-MIN_AGREE = 75
+MIN_AGREE = 82
+#: Pairs with leaders that are verified first, for each text.
+LEADERS = 2
 BUCKET_BLOCK = 1024
+#: Texts of a cluster meet in blocks of about so many bytes of multisets and so many texts.
+CLUSTER_BYTES, CLUSTER_TEXTS = 8 << 20, 1024
 PIECE_ROWS = 1024
 _LOW54 = _U((1 << 54) - 1)
 
@@ -147,11 +159,12 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree in at least MIN_AGREE slots."""
+    """Pairs whose signatures agree in at least MIN_AGREE slots, and in how many."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SLOTS) for c in ("slots_a", "slots_b"))
-        ok = pa.array((a == b).sum(1) >= MIN_AGREE)
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SLOTS) for c in ("slots_x", "slots_y"))
+        agree = (x == y).sum(1)
+        ok = pa.array(agree >= MIN_AGREE)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(ok) for c in ("rid", "leader")), pa.array(agree.astype(np.int32)).filter(ok)], ["rid", "leader", "agree"])
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,22 +173,43 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
 
-def _block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs of different classes of two blocks of one bucket (or of one block) that signatures let through."""
-    side = np.array(table.column("block").to_pylist())
-    first, second = key[1].as_py(), key[2].as_py()
-    rid = np.array(table.column("rid").to_pylist(), dtype=np.int64)
-    cls = np.array(table.column("cls").to_pylist(), dtype=np.int64)
+def _links(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _unpack(table: pa.Table, *columns: str) -> list[np.ndarray]:
     slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), "<u2").reshape(-1, SLOTS)
-    left, right = np.flatnonzero(side == first), np.flatnonzero(side == second)
-    a, b = [], []
+    return [*(np.array(table.column(c).to_pylist(), dtype=np.int64) for c in columns), slots]
+
+
+def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Links of the visitors of a cluster's block to other classes there: one for each visitor and class."""
+    rid, cls, n, visits, slots = _unpack(table, "rid", "cls", "n", "visits")
+    elements = table.column("elements")
+    members, out = np.flatnonzero(visits == 0), []
+    for v in np.flatnonzero(visits == 1).tolist():
+        near = members[(cls[members] != cls[v]) & (np.minimum(n[members], n[v]) >= THRESHOLD * np.maximum(n[members], n[v]))]
+        agree = (slots[near] == slots[v]).sum(1)
+        near = near[agree >= MIN_AGREE][np.argsort(-agree[agree >= MIN_AGREE], kind="stable")]
+        own, linked = elements[v].as_py() if len(near) else b"", set()
+        for m in near.tolist():
+            if cls[m] not in linked and similarity(own, elements[m].as_py()) >= THRESHOLD:
+                linked.add(cls[m])
+                out.append((min(rid[v], rid[m]), max(rid[v], rid[m])))
+    return _links(out)
+
+
+def _cross(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Pairs of different clusters and classes of two blocks of one bucket that signatures let through."""
+    first, second = key[1].as_py(), key[2].as_py()
+    block, rid, cls, cluster, slots = _unpack(table, "block", "rid", "cls", "cluster")
+    left, right, out = np.flatnonzero(block == first), np.flatnonzero(block == second), []
     for i in left.tolist():
-        near = right[((slots[right] == slots[i]).sum(1) >= MIN_AGREE) & (cls[right] != cls[i])]
-        if first == second:
-            near = near[rid[near] > rid[i]]
-        a.append(np.minimum(rid[near], rid[i]))
-        b.append(np.maximum(rid[near], rid[i]))
-    return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
+        other = right[(cluster[right] != cluster[i]) & (cls[right] != cls[i])]
+        for j in other[(slots[other] == slots[i]).sum(1) >= MIN_AGREE].tolist():
+            if first != second or rid[j] > rid[i]:
+                out.append((min(rid[i], rid[j]), max(rid[i], rid[j])))
+    return _links(out)
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -218,35 +252,57 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = staged(placed.join(shared, "bucket"), "buckets")
 
     sized = reps.select("rid", "n", "slots")
-    stars = shared.select("rid", F.explode(F.array_distinct(F.array("l1", "l2"))).alias("leader")).where("rid != leader").select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct()
+    stars = shared.select("rid", F.explode(F.array_distinct(F.array("l1", "l2"))).alias("leader")).where("rid != leader").distinct()
+    fits = F.least("n_x", "n_y") >= THRESHOLD * F.greatest("n_x", "n_y")
     near = (
-        stars.join(sized.toDF("a", "n_a", "slots_a"), "a").join(sized.toDF("b", "n_b", "slots_b"), "b")
-        .where(F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b")).select("a", "b", "slots_a", "slots_b").mapInArrow(_agree, "a bigint, b bigint")
+        stars.join(sized.toDF("rid", "n_x", "slots_x"), "rid").join(sized.toDF("leader", "n_y", "slots_y"), "leader")
+        .where(fits).select("rid", "leader", "slots_x", "slots_y").mapInArrow(_agree, "rid bigint, leader bigint, agree int")
     )
     near = staged(near, "star_pairs")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("rid")).unionAll(pairs.select(F.col("b").alias("rid"))).distinct().join(reps.select("rid", "key", "doc_id"), "rid")
-        found = texts.join(wanted.withColumnRenamed("doc_id", "own"), (F.col("doc_id").eqNullSafe(F.col("own"))) & (texts["key"] == wanted["key"])).select("rid", "text")
-        sets = staged(found.mapInArrow(_expand, "rid bigint, elements binary").dropDuplicates(["rid"]), "elements", "uncompressed")
+    def multisets(wanted: DataFrame, name: str) -> DataFrame:
+        keyed = wanted.join(reps.select("rid", "key", F.col("doc_id").alias("own")), "rid")
+        found = texts.join(keyed, (F.col("doc_id").eqNullSafe(F.col("own"))) & (texts["key"] == keyed["key"])).select("rid", "text")
+        return staged(found.mapInArrow(_expand, "rid bigint, elements binary").dropDuplicates(["rid"]), name, "uncompressed")
+
+    def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         both = pairs.join(sets.toDF("b", "eb"), "b").join(sets.toDF("a", "ea"), "a")
         return staged(both.select("a", "b", "ea", "eb").mapInArrow(_overlap, "a bigint, b bigint"), name)
 
-    links = verified(near, "star_links")
-    classes = components(links)
-    seen = shared.select("bucket", "rid", "size").join(classes, "rid", "left").withColumn("cls", F.coalesce("cls", "rid"))
-    mixed = seen.groupBy("bucket").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 < c1").select("bucket")
+    ends = lambda df, a, b: df.select(F.col(a).alias("rid")).unionAll(df.select(F.col(b).alias("rid"))).distinct()
+    sets = multisets(ends(near, "rid", "leader"), "elements")
+    best = near.withColumn("k", F.row_number().over(W.partitionBy("rid").orderBy(F.desc("agree"), "leader"))).where(F.col("k") <= LEADERS)
+    links = verified(best.select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct(), sets, "star_links")
+    clusters = components(near.select(F.col("rid").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("cls", "cluster")
+    placed = clusters.join(components(links), "rid", "left").withColumn("cls", F.coalesce("cls", "rid"))
+    placed = staged(placed.join(sized, "rid"), "placed")
+
+    # inside clusters of several classes: all texts by blocks, and the texts outside the largest class as visitors
+    by_class = placed.groupBy("cluster", "cls").agg(F.count("*").alias("m"), F.sum("n").alias("words"))
+    plan = by_class.groupBy("cluster").agg(F.count("*").alias("classes"), F.max_by("cls", F.struct("m", "cls")).alias("largest"), F.sum("words").alias("words"), F.sum("m").alias("texts"), F.max(F.struct("m", "cls", "words")).alias("most")).where("classes > 1")
+    size = lambda words, texts: F.greatest(F.lit(1), F.ceil(words * 8 / CLUSTER_BYTES), F.ceil(texts / CLUSTER_TEXTS)).cast("int")
+    plan = plan.select("cluster", "largest", size(F.col("words"), F.col("texts")).alias("blocks"), size(F.col("words") - F.col("most.words"), F.col("texts") - F.col("most.m")).alias("rooms"))
+    there = placed.join(plan, "cluster").join(sets, "rid")
+    of = lambda c: F.pmod(F.xxhash64("rid"), F.col(c)).cast("int")
+    columns = ["cluster", "block", "room", "rid", "cls", "n", "slots", "elements", "visits"]
+    members = there.withColumn("block", of("blocks")).withColumn("room", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1))).withColumn("visits", F.lit(0)).select(*columns)
+    visitors = there.where("cls != largest").withColumn("room", of("rooms")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(1)).select(*columns)
+    inside = staged(members.unionAll(visitors).groupBy("cluster", "block", "room").applyInArrow(_meet, "a bigint, b bigint"), "inside_links")
+
+    # texts of different clusters that share a bucket
+    seen = shared.select("bucket", "rid", "size").join(placed.select("rid", "cluster", "cls"), "rid", "left").withColumn("cluster", F.coalesce("cluster", "rid")).withColumn("cls", F.coalesce("cls", "rid"))
+    mixed = seen.groupBy("bucket").agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1")).where("c0 < c1").select("bucket")
     blocked = (
-        seen.join(mixed, "bucket").join(reps.select("rid", "slots"), "rid")
-        .withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+        seen.join(mixed, "bucket").join(sized.select("rid", "slots"), "rid")
+        .withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")).withColumn("block", of("blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rid", "cls", "slots")
+        .select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rid", "cls", "cluster", "slots")
     )
-    rest = blocked.groupBy("bucket", "first", "second").applyInArrow(_block_pairs, "a bigint, b bigint").distinct()
-    rest = rest.join(sized.select(F.col("rid").alias("a"), F.col("n").alias("n_a")), "a").join(sized.select(F.col("rid").alias("b"), F.col("n").alias("n_b")), "b").where(F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b")).select("a", "b")
-    rest = staged(rest.join(near, ["a", "b"], "left_anti"), "other_pairs")
-    if rest.head(1):
-        classes = components(links.unionAll(verified(rest, "other_links")))
+    cross = blocked.groupBy("bucket", "first", "second").applyInArrow(_cross, "a bigint, b bigint").distinct()
+    cross = staged(cross, "cross_pairs")
+    if cross.head(1):
+        links = links.unionAll(verified(cross, multisets(ends(cross, "a", "b"), "cross_elements"), "cross_links"))
+    classes = components(links.unionAll(inside))
     named = reps.select("rid", "key", "doc_id").join(classes, "rid", "left").withColumn("cls", F.coalesce("cls", "rid"))
     names = named.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first"))
     named = named.select("key", "cls").join(names, "cls").select("key", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("class_key"))
