@@ -14,6 +14,10 @@ from eventide.plans.queries import _signal, query
 from eventide.sources import canonical as C
 
 
+#: Target rows that the driver fits itself; more are fitted by aggregations.
+COLLECTED = 500_000
+
+
 def data(spark: SparkSession, d: str, **settings) -> L.Data:
     keep = lambda df: df.persist()
     return L.Data(keep(C.events(spark, d)), keep(C.targets(spark, d)), keep(C.entities(spark, d)), **settings)
@@ -70,11 +74,16 @@ def rule_ensemble(spark, d) -> DataFrame:
 def hawkes_fit(spark, d) -> DataFrame:
     e, t, n = C.events(spark, d), C.targets(spark, d), C.entities(spark, d)
     wide = P.hawkes_states(e, t, 24.0).groupBy("e", "t").pivot("p", [0, 1, 2, 3]).agg(F.first("s"))
-    rows = t.join(wide, ["e", "t"], "left").fillna(0.0).limit(1_000_000).collect()
+    rows = t.join(wide, ["e", "t"], "left").fillna(0.0)
     mass = {r["p"]: r["mass"] for r in P.hawkes_mass(e, n, 24.0).collect()}
-    exposure = n.agg(F.sum(F.col("end") - F.col("start") + 1)).first()[0]
-    states = np.array([[r[str(p)] for p in range(4)] for r in rows], dtype=float)
-    mu, a, nll = L.hawkes_fit(states, np.array([r["mult"] for r in rows], dtype=float), np.array([mass.get(p, 0.0) for p in range(4)]), float(exposure))
+    mass = np.array([mass.get(p, 0.0) for p in range(4)])
+    exposure = float(n.agg(F.sum(F.col("end") - F.col("start") + 1)).first()[0])
+    few = rows.limit(COLLECTED + 1).collect()
+    if len(few) > COLLECTED:
+        mu, a, nll = L.hawkes_fit_distributed(rows, ["0", "1", "2", "3"], mass, exposure)
+    else:
+        states = np.array([[r[str(p)] for p in range(4)] for r in few], dtype=float)
+        mu, a, nll = L.hawkes_fit(states, np.array([r["mult"] for r in few], dtype=float), mass, exposure)
     return spark.createDataFrame([("base", float(mu), float(nll)), *[(f"p{p}", float(v), float(nll)) for p, v in enumerate(a)]], "parameter string, value double, nll double")
 
 

@@ -364,3 +364,20 @@ def hawkes_fit(states: np.ndarray, counts: np.ndarray, mass: np.ndarray, exposur
         nll = float(after)
         mu, a = mu * (counts / rate).sum() / exposure, a * (states.T @ (counts / rate)) / np.maximum(mass, 1e-300)
     return mu, a, nll
+
+
+def hawkes_fit_distributed(rows: DataFrame, names: Sequence[str], mass: np.ndarray, exposure: float, rounds: int = 200, tolerance: float = 1e-8) -> tuple[float, np.ndarray, float]:
+    """hawkes_fit() with one aggregation per round, of rows (mult, names) too many to collect."""
+    rows = rows.select("mult", *names).persist()
+    total = float(rows.agg(F.sum("mult")).first()[0] or 0)
+    mu, a, nll = max(1e-9, total / exposure / 2), np.full(len(names), 0.01), math.inf
+    for _ in range(rounds):
+        rate = F.greatest(F.lit(1e-300), sum((float(w) * F.col(c) for w, c in zip(a, names, strict=True)), F.lit(float(mu))))
+        got = list(rows.agg(F.sum(F.col("mult") * F.log(rate)), F.sum(F.col("mult") / rate), *[F.sum(F.col("mult") * F.col(c) / rate) for c in names]).first())
+        after = mu * exposure + float(mass @ a) - got[0]
+        if abs(nll - after) < tolerance * max(1.0, abs(after)):
+            break
+        nll = after
+        mu, a = mu * got[1] / exposure, a * np.array(got[2:], dtype=float) / np.maximum(mass, 1e-300)
+    rows.unpersist()
+    return mu, a, nll
