@@ -283,4 +283,4 @@ def test_hawkes_fits_agree(spark):
     states, counts, mass = rng.gamma(1.0, 1.0, size=(200, 2)), np.ones(200), np.array([150.0, 90.0])
     rows = spark.createDataFrame([(1, float(a), float(b)) for a, b in states], "mult bigint, a double, b double")
     here, there = L.hawkes_fit(states, counts, mass, 900.0, 40), L.hawkes_fit_distributed(rows, ["a", "b"], mass, 900.0, 40, 0.0)
-    assert here[0] == pytest.approx(there[0], rel=1e-6) and here[1] == pytest.approx(there[1], rel=1e-6) and here[2] == pytest.approx(there[2])
+    assert here[0] == pytest.approx(there[0], abs=1e-4) and here[1] == pytest.approx(there[1], rel=1e-3) and here[2] == pytest.approx(there[2], rel=1e-7)
