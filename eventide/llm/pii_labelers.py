@@ -91,7 +91,8 @@ _CANDIDATE = re.compile(
     r"|(?P<secret>(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-]))"
     r"|(?P<tel>(?<![0-9A-Za-z.])\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9A-Za-z.+])(?:\([0-9]{2,4}\)[\x20]?|0)[0-9]{1,4}(?:[\x20./-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.+])[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z]))"
 )
-_CLUE = re.compile(r"[0-9]{2}")
+#: Every branch of _CANDIDATE holds a digit, or two hexadecimal letters around a colon or dash.
+_CLUE = re.compile(r"[0-9]|[A-Fa-f][:-][A-Fa-f]")
 _BEFORE = re.compile(r"[^\W\d_]+")
 GAZETTEER = {
     "tel": frozenset("tel phone telephone telefon telefono teléfono téléphone mobile mobil cell fax call llame appelez".split()),

@@ -236,6 +236,26 @@ def test_redaction(odd_docs, make_docs):
     assert pii_labelers.find_personal_data(make_docs([])).count() == 0 and pii_labelers.redact(make_docs([]), ["text"]).count() == 0
 
 
+@pytest.mark.parametrize(("text", "kind"), [
+    ("token=ghp_a1B2c3D4e5F6g7H8i9J0k1L2", "secret"), ("key sk-a1b2c3d4e5f6g7h8i9j0kZ", "secret"), ("mac a1:b2:c3:d4:e5:f6 host", "machine"),
+    ("mac aa-bb-cc-dd-ee-ff host", "machine"), ("inet fe:ab:cd:ef:fe up", "machine"),
+])
+def test_candidates_without_adjacent_digits(text, kind):
+    assert [c[0] for c in pii_labelers.candidates(text, [])] == [kind]
+
+
+def test_clue_never_hides_a_candidate():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(p) for _ in range(rng.randint(1, 40))) for p in ["abF:-", "aF1:- ", "aZ1_-+ .()", "DE1 0A", "01 -"] for _ in range(2_000)]
+    hidden = [t for t in texts if pii_labelers._CANDIDATE.search(t) and not pii_labelers._CLUE.search(t)]
+    assert not hidden and any(pii_labelers._CANDIDATE.search(t) for t in texts)
+
+
+def test_redaction_without_adjacent_digits(make_docs):
+    rows = pii_labelers.redact(make_docs(["token=ghp_a1B2c3D4e5F6g7H8i9J0k1L2"] * 30 + ["nothing-of-note-4-anyone-here"] * 30), ["text"]).collect()
+    assert Counter(r["text"] for r in rows) == {"token=[secret]": 30, "nothing-of-note-4-anyone-here": 30}
+
+
 def test_reliabilities_tell_labelers_apart():
     counts = {}
     for key, n in (('["secret",[1,1,1,0,1,0,0,0],[1,0,1,1,0,0,4,3,3,2,1,0,0,0,0,1]]', 80), ('["secret",[0,0,0,0,-1,-1,-1,0],[0,0,0,0,0,0,2,0,1,1,0,0,0,0,0,1]]', 200)):
