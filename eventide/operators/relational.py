@@ -9,12 +9,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def interval_exposure(intervals: DataFrame, shocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+def interval_exposure(intervals: DataFrame, shocks: DataFrame, keys: Sequence[str], width: int | None = None) -> DataFrame:
     """e, t, code, id: shocks (keys, t, code, id) strictly inside intervals (keys, e, start, end); the smallest id each.
 
-    Equal keys carry the join; the open range is a residual condition on the co-located rows.
+    Equal keys carry the join; the open range is a residual condition on the co-located rows. With few keys, width cuts
+    time into stretches that become a key too; the result is the same with any width.
     """
-    met = intervals.join(shocks, list(keys)).where((F.col("t") > F.col("start")) & (F.col("t") < F.col("end")))
+    on = list(keys)
+    if width:
+        stretch = lambda c: F.floor(F.col(c) / width)
+        intervals = intervals.where("start < end").withColumn("_s", F.explode(F.sequence(stretch("start"), stretch("end"))))
+        shocks, on = shocks.withColumn("_s", stretch("t")), [*on, "_s"]
+    met = intervals.join(shocks, on).where((F.col("t") > F.col("start")) & (F.col("t") < F.col("end")))
     return met.groupBy("e", "t", "code").agg(F.min("id").alias("id"))
 
 

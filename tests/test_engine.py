@@ -15,6 +15,7 @@ from eventide.functions import scalar as S
 from eventide.operators import folds, motifs, relational, response, signals, states
 from eventide.plans import inference as I
 from eventide.plans import model as L
+from eventide.plans.queries import QUERIES
 from eventide.sources import datasets
 from eventide.streaming import live
 
@@ -278,6 +279,48 @@ def test_unbounded_axes():
     assert not I.unbounded_axes(x, np.array([1.0, 2.0])).any()
 
 
+@pytest.fixture(scope="module")
+def every_quantity(spark, tmp_path_factory):
+    """A folder of orders and lineitem whose lines carry all quantities, and their rows."""
+    rng, d = random.Random(8), tmp_path_factory.mktemp("lines")
+    day = lambda k: (pd.Timestamp("1995-01-01") + pd.Timedelta(days=k)).to_pydatetime()
+    orders = [(k, rng.randint(0, 3), rng.randint(0, 30)) for k in range(60)]
+    lines = [(rng.randint(0, 59), rng.randint(0, 3), rng.randint(0, 35), rng.choice("RAN"), rng.choice("OF"), float(rng.randint(1, 50))) for _ in range(300)]
+    spark.createDataFrame([(a, b, day(c)) for a, b, c in orders], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(a, b, day(c), *r) for a, b, c, *r in lines], "l_orderkey bigint, l_suppkey bigint, l_shipdate timestamp, l_returnflag string, l_linestatus string, l_quantity double").write.parquet(f"{d}/lineitem.parquet")
+    return str(d), orders, lines
+
+
+def test_whole_exposure_and_stability(spark, every_quantity):
+    d, orders, lines = every_quantity
+    want = {}
+    for (e, g, s), (key, h, t, flag, _, _) in itertools.product(orders, lines):
+        if g == h and s < t < s + 5:
+            k = (e, t, int(flag == "R"))
+            want[k] = min(want.get(k, key), key)
+    origin = (pd.Timestamp("1995-01-01") - pd.Timestamp("1970-01-01")).days
+    got = {(r["e"], r["t"] - origin, r["code"]): r["id"] for r in QUERIES["interval_exposure_join_whole"](spark, d).collect()}
+    assert got == want and len(want) > 100
+    runs = {}
+    for _, supplier, _, flag, status, _ in lines:
+        runs.setdefault(flag + status, set()).add(supplier)
+    pairs = [len(a & b) / len(a | b) for a, b in itertools.combinations(runs.values(), 2)]
+    assert QUERIES["run_stability_whole"](spark, d).first()["jaccard"] == pytest.approx(np.mean(pairs), abs=1e-6)
+
+
+@pytest.mark.parametrize("width", [None, 1, 3, 100])
+def test_interval_exposure_does_not_depend_on_width(spark, width):
+    rng = random.Random(4)
+    i = [(e, rng.randint(0, 1), s := rng.randint(-9, 20), s + rng.randint(-2, 9)) for e in range(25)]
+    x = [(rng.randint(0, 1), rng.randint(-10, 30), rng.randint(0, 1), k) for k in range(80)]
+    want = {}
+    for (e, g, s, z), (h, t, code, k) in itertools.product(i, x):
+        if g == h and s < t < z:
+            want[(e, t, code)] = min(want.get((e, t, code), k), k)
+    got = relational.interval_exposure(spark.createDataFrame(i, "e int, g int, start int, end int"), spark.createDataFrame(x, "g int, t int, code int, id int"), ["g"], width)
+    assert {(r["e"], r["t"], r["code"]): r["id"] for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_hawkes_fits_agree(spark):
     rng = np.random.default_rng(3)
     states, counts, mass = rng.gamma(1.0, 1.0, size=(200, 2)), np.ones(200), np.array([150.0, 90.0])
