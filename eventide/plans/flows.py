@@ -80,11 +80,11 @@ def hawkes_fit(spark, d) -> DataFrame:
     exposure = float(n.agg(F.sum(F.col("end") - F.col("start") + 1)).first()[0])
     few = rows.limit(COLLECTED + 1).collect()
     if len(few) > COLLECTED:
-        mu, a, nll = L.hawkes_fit_distributed(rows, ["0", "1", "2", "3"], mass, exposure)
+        mu, a, nll, converged = L.hawkes_fit_distributed(rows, ["0", "1", "2", "3"], mass, exposure)
     else:
         states = np.array([[r[str(p)] for p in range(4)] for r in few], dtype=float)
-        mu, a, nll = L.hawkes_fit(states, np.array([r["mult"] for r in few], dtype=float), mass, exposure)
-    return spark.createDataFrame([("base", float(mu), float(nll)), *[(f"p{p}", float(v), float(nll)) for p, v in enumerate(a)]], "parameter string, value double, nll double")
+        mu, a, nll, converged = L.hawkes_fit(states, np.array([r["mult"] for r in few], dtype=float), mass, exposure)
+    return spark.createDataFrame([("base", float(mu), float(nll), converged), *[(f"p{p}", float(v), float(nll), converged) for p, v in enumerate(a)]], "parameter string, value double, nll double, converged boolean")
 
 
 def _landmarks(spark, d):

@@ -327,3 +327,18 @@ def test_hawkes_fits_agree(spark):
     rows = spark.createDataFrame([(1, float(a), float(b)) for a, b in states], "mult bigint, a double, b double")
     here, there = L.hawkes_fit(states, counts, mass, 900.0, 40), L.hawkes_fit_distributed(rows, ["a", "b"], mass, 900.0, 40, 0.0)
     assert here[0] == pytest.approx(there[0], abs=1e-4) and here[1] == pytest.approx(there[1], rel=1e-3) and here[2] == pytest.approx(there[2], rel=1e-7)
+
+
+def test_hawkes_fits_converge_alike(spark):
+    """Excitations that EM takes to zero slowly: both fits end at the same optimum by themselves."""
+    rng = np.random.default_rng(5)
+    states, counts, mass = rng.gamma(1.0, 1.0, size=(300, 3)), rng.integers(1, 3, 300).astype(float), np.array([900.0, 460.0, 380.0])
+    rows = spark.createDataFrame([(int(c), *map(float, r)) for c, r in zip(counts, states, strict=True)], "mult bigint, a double, b double, c double")
+    here, there = L.hawkes_fit(states, counts, mass, 400.0), L.hawkes_fit_distributed(rows, ["a", "b", "c"], mass, 400.0)
+    assert here[3] and there[3]
+    assert here[0] == pytest.approx(there[0], rel=1e-6) and here[1] == pytest.approx(there[1], rel=1e-6, abs=1e-9) and here[2] == pytest.approx(there[2], rel=1e-10)
+    theta, scale = np.array([here[0], *here[1]]), np.array([400.0, *mass])
+    z = np.column_stack([np.ones(300), states])
+    grad = 1 - (counts / (z @ theta)) @ z / scale
+    assert (np.abs(grad[theta > 0]) < 1e-7).all() and (grad[theta == 0] >= 0).all() and (theta == 0).any()
+    assert not L.hawkes_fit(states, counts, mass, 400.0, 2)[3]
