@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from itertools import combinations
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -50,8 +51,6 @@ def support_of(key: str) -> Support:
 
 def closure(support: Sequence[Rule]) -> list[tuple[int, ...]]:
     """Strict subsets of reported patterns that are not reported themselves."""
-    from itertools import combinations
-
     have = {r.pattern for r in support}
     return sorted({c for r in support for q in range(1, len(r.pattern)) for c in combinations(r.pattern, q)} - have)
 
@@ -233,7 +232,10 @@ def dictionary(predicates: Sequence[int], windows: Sequence[int], q_max: int = 2
 
 
 def search(data: Data, rules: Sequence[Rule], max_rules: int = 2, tolerance: float = 1e-6) -> list[Record]:
-    """Forward additions with drops, from every identity that pays for itself; supports are refitted exactly."""
+    """Forward additions of any identity with drops, from every identity, so a pair may pay only jointly; refitted exactly.
+
+    Supports that do not pay are left out; where none pays, the best start's stays.
+    """
     skeletons = len({(r.pattern, r.relation) for r in rules})
     windows = max(1, len({r.window for r in rules}))
     n = data.entities.count()
@@ -247,15 +249,17 @@ def search(data: Data, rules: Sequence[Rule], max_rules: int = 2, tolerance: flo
             known[s] = Record(s, f, c, 2 * (base.nll - f.nll) - c if f.converged else -math.inf)
         return known[s]
 
+    plain = [r for r in rules if r.sign > 0] + [r for r in rules if r.sign < 0 and Rule(r.pattern, r.relation, r.window) not in set(rules)]
     with ThreadPool(4) as pool:  # independent small jobs; Spark runs them side by side
-        pool.map(lambda r: fit(data, (r,)), [r for r in rules if r.sign > 0])
+        pool.map(lambda r: fit(data, (r,)), plain)
+        if max_rules > 1:
+            pool.map(lambda s: fit(data, tuple(sorted(s))), [s for s in combinations(plain, 2) if s[0].pattern != s[1].pattern])
     singles = sorted((price((r,)) for r in rules), key=lambda x: (-x.score, x.support))
-    starts = [x for x in singles if x.score > tolerance] or singles[:1]
     best: dict[Support, Record] = {}
-    for start in starts:
+    for start in singles:
         now = start
         while len(now.support) < max_rules:
-            more = [price(tuple(sorted((*now.support, x.support[0])))) for x in starts if x.support[0].pattern not in {r.pattern for r in now.support}]
+            more = [price(tuple(sorted((*now.support, x)))) for x in rules if x.pattern not in {r.pattern for r in now.support}]
             top = max(more, key=lambda x: (x.score, [-ord(c) for c in support_key(x.support)]), default=None)
             if top is None or top.score <= now.score + tolerance:
                 break
@@ -263,7 +267,8 @@ def search(data: Data, rules: Sequence[Rule], max_rules: int = 2, tolerance: flo
             drops = [price(tuple(r for r in now.support if r != d)) for d in now.support]
             now = max([now, *[x for x in drops if x.support]], key=lambda x: x.score)
         best[now.support] = now
-    return sorted(best.values(), key=lambda x: (-x.score, x.support))
+    found = sorted(best.values(), key=lambda x: (-x.score, x.support))
+    return [x for x in found if x.score > tolerance] or found[:1]
 
 
 def entity_gains(data: Data, base: Fit, full: Fit) -> DataFrame:

@@ -342,3 +342,13 @@ def test_hawkes_fits_converge_alike(spark):
     grad = 1 - (counts / (z @ theta)) @ z / scale
     assert (np.abs(grad[theta > 0]) < 1e-7).all() and (grad[theta == 0] >= 0).all() and (theta == 0).any()
     assert not L.hawkes_fit(states, counts, mass, 400.0, 2)[3]
+
+
+def test_search_prices_pairs_that_pay_only_jointly(monkeypatch):
+    """Neither of two rules pays alone, both together do; another rule pays alone."""
+    a, b, c = (L.Rule((p,), "atomic", 0) for p in range(3))
+    gain = {(): 0.0, (a,): 0.5, (b,): 0.5, (c,): 12.0, (a, b): 60.0, (a, c): 12.5, (b, c): 12.5}
+    monkeypatch.setattr(L, "fit", lambda data, s: L.Fit(s, {}, np.zeros(len(s)), 100.0 - gain[s], True))
+    data = type("D", (), {"entities": type("E", (), {"count": lambda self: 50})()})()
+    records = L.search(data, [a, b, c], 2)
+    assert records[0].support == (a, b) and (c,) in [r.support for r in records] and all(r.score > 0 for r in records)
