@@ -1,27 +1,33 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
-Terms are runs of four bytes of the lowered text within a word or at its beginning, and beginnings of words of a
-few lengths (as 64-bit hashes), so inflected and invented forms of one stem share terms. A bounded sample of labelled rows (per_class of each label, outside the held-out
-fold) chooses the vocabulary: the terms whose presence differs most between both labels, beyond chance. Document
-frequencies of those terms are counted over all documents.
-
-The examples are indexed in blocks of BLOCK: the postings of a term keep, per block, its largest weight. A query's
-upper bound for a block is the sum of its weights times those maxima; blocks are visited from the highest bound
-down, until no block left can beat the K-th best cosine. The result is the exact K nearest examples.
-
-Neighbours vote with their cosine; a constant weight PULL stands for no evidence. A logistic curve, fitted to the
-votes that each example gets from the others and weighted to the true share of labels, turns votes into
-calibrated scores. The nearest examples are given as evidence.
-
-Null and empty texts, and texts without any vocabulary term, have no neighbours and get the curve's value for no
-evidence. Without labels of both kinds every score is the share of label 1 (0 without any). Ties between
-neighbours go to the smaller id. Repeated rows give repeated results.
+Terms are the words of a text and the beginnings of its longer words (STEMS bytes long), as 64-bit hashes, so
+inflected and invented forms of one stem share terms. A bounded sample of labelled rows outside the held-out fold
+(per_class rows of each label and MAX_POSTINGS postings at most) gives the examples. Every term of every example
+is indexed; a term that no example holds can match none and is left out of the query's vector. Document
+frequencies of all indexed terms are counted over all documents.
+
+The examples are placed so that alike ones are neighbours, and cut into blocks of BLOCK. Every term has a posting
+list (example, weight), stored by block, and the largest weight in each block. A query's upper bound for a block
+is the sum of its weights times those maxima; blocks are visited from the highest bound down, the postings of the
+query's terms in a block give the exact cosines there, and blocks whose bound cannot beat the K-th best cosine
+are skipped. The result is the exact K nearest examples.
+
+Neighbours vote with their cosine, among the nearest of several numbers (DEPTHS); a constant weight PULL stands
+for no evidence. A logistic curve, fitted to the votes that each example gets from the others (without the terms
+that it alone holds) and weighted to the true share of labels, turns votes into calibrated scores. The nearest
+examples are given as evidence.
+
+Null and empty texts, and texts without any indexed term, have no neighbours and get the curve's value for no
+evidence. Very long texts are scored whole; memory follows one text. Without labels of both kinds every score is
+the share of label 1 (0 without any). Ties between neighbours go to the smaller id. Repeated rows give repeated
+results; of a sampled id on several rows the smallest text is the example. Empty tables give empty results; extra
+columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,127 +35,189 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.llm.common import class_counts, fold_of, labelled, pieces
-from eventide.llm.textscan import _BASE, _BYTES, _U, _UNBASE, WORD, mix, powers, words
-
-#: Labelled rows to index, of each label at most, and the vocabulary's size at most.
-PER_CLASS, TERMS = 1_500, 1_024
-#: Bytes of the beginnings of words that are terms beside the runs of four.
-STEMS = (5, 6, 7, 8)
-MIN_DOCS, MIN_Z = 5, 4.0
-K, BLOCK, PULL, RIDGE = 15, 64, 0.35, 1e-5
+from eventide.llm.textscan import _BASE, _BYTES, _U, _UNBASE, mix, powers, words
+
+#: Labelled rows to index, of each label at most, and (term, example) pairs of all of them at most.
+PER_CLASS, MAX_POSTINGS = 1_500, 8_000_000
+#: Bytes of the beginnings of words that are terms beside the words themselves.
+STEMS = (4, 6, 8)
+#: Votes are taken among so many nearest examples; K is the largest number.
+DEPTHS = (10, 40, 80)
+K, BLOCK, PULL, RIDGE, PIVOTS = max(DEPTHS), 64, 0.35, 1e-4, 16
+#: A piece holds about so many bytes of text, which bounds the cosines held at once.
+PIECE = 512 << 10
 THRESHOLD = 0.3
 SHOWN = 3
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:float,toxic:int>>"
 
 
-def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All terms of a column's texts as 64-bit numbers, and the row of each."""
+def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of a column's texts as 64-bit numbers, and the row of each; repeated as often as they stand."""
     w = words(column)
-    low = np.where(WORD[w.low], w.low, np.uint8(32))
-    n = len(low) - 3
-    if n <= 0:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    inside = low != 32
-    whole = inside[1 : n + 1] & inside[2 : n + 2] & inside[3 : n + 3]
-    for j in (1, 2, 3):  # no run crosses into the next row
-        at = w.off[1:-1] - j
-        whole[at[(at >= 0) & (at < n)]] = False
-    at = np.flatnonzero(whole)
-    wide = low.astype(np.uint32)
-    runs = wide[at] | wide[at + 1] << np.uint32(8) | wide[at + 2] << np.uint32(16) | wide[at + 3] << np.uint32(24)
-    values, rows = [runs.astype(_U)], [np.searchsorted(w.off, at, side="right") - 1]
     length = w.end - w.start
-    sums = np.zeros(len(low) + 1, dtype=_U)
-    np.cumsum(_BYTES[w.low] * powers(_BASE, len(low)), out=sums[1:])
-    back = powers(_UNBASE, len(low) + 1)
+    sums = np.zeros(len(w.low) + 1, dtype=_U)
+    np.cumsum(_BYTES[w.low] * powers(_BASE, len(w.low)), out=sums[1:])
+    back = powers(_UNBASE, len(w.low) + 1)
+    values, rows = [mix((sums[w.end] - sums[w.start]) * back[w.start])], [w.row]
     for k in STEMS:
-        long = np.flatnonzero(length >= k)
+        long = np.flatnonzero(length > k)
         begin = w.start[long]
         values.append(mix((sums[begin + k] - sums[begin]) * back[begin] + _U(k)) | _U(1 << 63))
         rows.append(w.row[long])
+    values[0] &= _U((1 << 63) - 1)
     return np.concatenate(values), np.concatenate(rows)
 
 
 class Vocabulary:
-    """Exact look-up of terms, behind a small table of hashes that turns most of them away."""
+    """Exact look-up of terms, behind a table of hashes that turns most of them away."""
 
     def __init__(self, known: np.ndarray) -> None:
         self.known = np.sort(known.astype(_U))
-        self.hint = np.zeros(1 << 16, dtype=bool)
+        self.hint = np.zeros(1 << 21, dtype=bool)
         self.hint[self._hash(self.known)] = True
 
     @staticmethod
     def _hash(x: np.ndarray) -> np.ndarray:
-        return (x * _U(0x9E3779B97F4A7C15)) >> _U(48)
-
-    def counts(self, column: pa.Array) -> np.ndarray:
-        """Rows by terms: how often each known term stands in each text."""
-        out = np.zeros((len(column), len(self.known)), dtype=np.float32)
-        if len(self.known):
-            value, row = terms(column)
-            maybe = np.flatnonzero(self.hint[self._hash(value)])
-            value, row = value[maybe], row[maybe]
-            k = np.minimum(np.searchsorted(self.known, value), len(self.known) - 1)
-            hit = self.known[k] == value
-            np.add.at(out, (row[hit], k[hit]), 1)
-        return out
-
-
-def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF vectors; a row without terms stays zero."""
-    w = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32) * idf.astype(np.float32)
-    norm = np.sqrt((w * w).sum(1, keepdims=True))
-    return w / np.where(norm > 0, norm, 1)
+        return (x * _U(0x9E3779B97F4A7C15)) >> _U(43)
+
+    def sparse(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, count) of the known terms of each text, by row and term."""
+        value, row = term_counts(column)
+        maybe = np.flatnonzero(self.hint[self._hash(value)])
+        value, row = value[maybe], row[maybe]
+        if not len(value) or not len(self.known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.known, value), len(self.known) - 1)
+        hit = self.known[at] == value
+        key, count = np.unique(row[hit].astype(np.int64) * len(self.known) + at[hit], return_counts=True)
+        return key // len(self.known), key % len(self.known), count
+
+
+def weigh(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, rows: int) -> np.ndarray:
+    """Weights of unit TF-IDF vectors given as (row, term, count)."""
+    w = (1 + np.log(count)) * idf[term]
+    norm = np.sqrt(np.bincount(row, w * w, minlength=rows))
+    return (w / np.where(norm > 0, norm, 1)[row]).astype(np.float32)
+
+
+def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... n[0] of them, then the same of begin[1] and so on."""
+    return np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+
+
+def arrange(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, size: int) -> np.ndarray:
+    """An order of n vectors in which alike ones are close: by the nearest of PIVOTS vectors far from each other."""
+    best, home, pivot = np.full(n, -1.0), np.zeros(n, dtype=np.int64), 0
+    for p in range(min(PIVOTS, n)):
+        dense = np.zeros(size, dtype=np.float32)
+        own = row == pivot
+        dense[term[own]] = weight[own]
+        cosine = np.bincount(row, weight * dense[term], minlength=n)
+        home[cosine > best] = p
+        best = np.maximum(best, cosine)
+        pivot = int(best.argmin())
+    return np.lexsort((-best, home))
 
 
+@dataclass
 class BlockMaxIndex:
-    """Exact K nearest rows by cosine. Rows are placed by their heaviest term, so that blocks are alike inside."""
-
-    def __init__(self, vectors: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> None:
-        order = np.lexsort((ids, vectors.argmax(1) if vectors.size else ids))
-        self.vectors, self.labels, self.ids = vectors[order], labels[order], ids[order]
-        self.begins = np.arange(0, max(1, len(order)), BLOCK)
-        self.maxima = np.stack([self.vectors[b : b + BLOCK].max(0) for b in self.begins], 1) if len(order) else np.zeros((vectors.shape[1], 0), np.float32)
-
-    def search(self, queries: np.ndarray, k: int = K, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Exact K nearest vectors by cosine. Vectors are given as (row, term, weight) with rows 0 .. len(labels) - 1."""
+
+    row: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+    labels: np.ndarray
+    ids: np.ndarray
+    size: int  #: number of terms
+    visited: int = 0
+    blocks: int = 0
+    _tables: tuple | None = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tables": None, "visited": 0}
+
+    def __post_init__(self) -> None:
+        n = len(self.labels)
+        order = arrange(self.row, self.term, self.weight, n, self.size)
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        row = place[self.row]
+        by = np.lexsort((row, self.term, row // BLOCK))
+        self.row, self.term, self.weight = row[by].astype(np.int32), self.term[by].astype(np.int32), self.weight[by].astype(np.float32)
+        self.labels, self.ids, self.blocks = self.labels[order], self.ids[order], -(-n // BLOCK)
+
+    def tables(self) -> tuple:
+        """Where each term's postings of each block begin, and each term's largest weight in each block; made once a worker."""
+        if self._tables is None:
+            key = self.row.astype(np.int64) // BLOCK * self.size + self.term
+            begin = np.searchsorted(key, np.arange(self.blocks * self.size + 1)).astype(np.int32)
+            maxima = np.zeros(self.blocks * self.size, dtype=np.float32)
+            np.maximum.at(maxima, key, self.weight)
+            self._tables = begin, np.ascontiguousarray(maxima.reshape(self.blocks, self.size).T)
+        return self._tables
+
+    def search(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, k: int = K, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and places of the k nearest of each query, best first (0 and -1 where there are fewer).
 
-        leave: a place that each query must not find, or -1.
+        Queries are (row, term, weight), by row. leave: a place that each query must not find.
         """
-        n = len(queries)
-        best, place = np.zeros((n, k), dtype=np.float32), np.full((n, k), -1)
-        if not self.maxima.shape[1] or not n:
+        best, place = np.zeros((rows, k), dtype=np.float32), np.full((rows, k), -1, dtype=np.int64)
+        if not self.blocks or not len(row):
             return best, place
-        bound = queries @ self.maxima
+        begin, maxima = self.tables()
+        first = np.searchsorted(row, np.arange(rows + 1))
+        full = np.flatnonzero(np.diff(first))
+        bound = np.zeros((rows, self.blocks), dtype=np.float32)
+        step = max(1, (1 << 23) // self.blocks)  # entries whose maxima are gathered at once
+        for q in np.split(full, np.unique(np.searchsorted(first[full], np.arange(step, first[-1], step)))) if len(full) else []:
+            if len(q):
+                a, b = first[q[0]], first[q[-1] + 1]
+                bound[q] = np.add.reduceat(maxima[term[a:b]] * weight[a:b, None], first[q] - a, axis=0)
         visit = np.argsort(-bound, axis=1, kind="stable")
-        live = np.flatnonzero(bound.max(1) > 0)
-        for step in range(bound.shape[1]):
+        cosines = np.zeros((rows, self.blocks * BLOCK), dtype=np.float32)
+        live = full
+        for turn in range(self.blocks):
+            block = visit[live, turn]
+            go = (bound[live, block] > 0) & (bound[live, block] + 1e-5 >= best[live, -1])
+            live, block = live[go], block[go]
             if not len(live):
                 break
-            block = visit[live, step]
-            go = bound[live, block] + 1e-6 > best[live, -1]
-            go &= bound[live, block] > 0
-            live, block = live[go], block[go]
-            for b in np.unique(block):
+            self.visited += len(live)
+            for b in np.unique(block).tolist():
                 q = live[block == b]
-                begin = self.begins[b]
-                got = queries[q] @ self.vectors[begin : begin + BLOCK].T
+                n = first[q + 1] - first[q]
+                entry = spread(first[q], n)
+                at = b * self.size + term[entry]
+                m = begin[at + 1] - begin[at]
+                some = np.flatnonzero(m)
+                m = m[some]
+                posting = spread(begin[at[some]].astype(np.int64), m)
+                own = np.repeat(np.arange(len(q)), n)[some]
+                got = np.bincount(
+                    np.repeat(own * BLOCK, m) + self.row[posting] - b * BLOCK, np.repeat(weight[entry[some]], m) * self.weight[posting], minlength=len(q) * BLOCK,
+                ).reshape(-1, BLOCK).astype(np.float32)
                 if leave is not None:
-                    own = leave[q] - begin
-                    at = np.flatnonzero((own >= 0) & (own < got.shape[1]))
-                    got[at, own[at]] = 0
-                all_cos = np.concatenate((best[q], got), 1)
-                all_at = np.concatenate((place[q], np.broadcast_to(np.where(got > 0, np.arange(begin, begin + got.shape[1]), -1), got.shape)), 1)
-                top = np.lexsort((np.where(all_at >= 0, self.ids[all_at], np.iinfo(np.int64).max), -all_cos), axis=1)[:, :k]
-                best[q], place[q] = np.take_along_axis(all_cos, top, 1), np.take_along_axis(all_at, top, 1)
+                    mine = np.flatnonzero(leave[q] // BLOCK == b)
+                    got[mine, leave[q[mine]] % BLOCK] = 0
+                cosines[q, b * BLOCK : (b + 1) * BLOCK] = got
+                best[q] = -np.sort(np.partition(-np.concatenate((best[q], got), 1), k - 1, axis=1)[:, :k], axis=1)
+        q, at = np.nonzero((cosines > 0) & (cosines >= best[:, -1:]))
+        by = np.lexsort((self.ids[at], -cosines[q, at], q))
+        q, at = q[by], at[by]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < k
+        place[q[keep], rank[keep]] = at[keep]
         return best, place
 
 
 def vote(cosines: np.ndarray, places: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """What the curve is fitted to: the vote weighted by cosines, and the same times the best cosine."""
+    """What the curve is fitted to: for each depth the vote weighted by cosines, and the same times the best cosine."""
     yes = np.where(places >= 0, labels[places], 0) if len(labels) else np.zeros_like(cosines)
-    share = (cosines * yes).sum(1) / (cosines.sum(1) + PULL)
-    return np.column_stack([share, share * cosines.max(1)])
+    out = []
+    for k in DEPTHS:
+        share = (cosines * yes)[:, :k].sum(1) / (cosines[:, :k].sum(1) + PULL)
+        out += [share, share * cosines[:, 0]]
+    return np.column_stack(out)
 
 
 @dataclass
@@ -159,104 +227,114 @@ class Model:
     index: BlockMaxIndex
     slopes: np.ndarray
     bias: float
+    _vocabulary: Vocabulary | None = None
 
-    def score(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cosines, places = self.index.search(weigh(counts, self.idf))
+    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self._vocabulary is None:
+            self._vocabulary = Vocabulary(self.terms)
+        row, term, count = self._vocabulary.sparse(column)
+        cosines, places = self.index.search(row, term, weigh(row, term, count, self.idf, len(column)), len(column))
         z = vote(cosines, places, self.index.labels) @ self.slopes + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), cosines, places
 
 
 def calibrate(votes: np.ndarray, labels: np.ndarray, share: float) -> tuple[np.ndarray, float]:
-    """A logistic curve of the votes, by Newton steps with a ridge; both labels weigh as they truly occur."""
+    """A logistic curve of the votes, by Newton steps with a ridge and halving; both labels weigh as they truly occur."""
     weight = np.where(labels == 1, share / max(1, labels.sum()), (1 - share) / max(1, (1 - labels).sum()))
     x = np.column_stack([votes, np.ones(len(votes))])
-    beta = np.array([3.0, 3.0, np.log(share / (1 - share))])
-    ridge = np.diag([RIDGE, RIDGE, 1e-7])
-    for _ in range(100):
+    ridge = np.append(np.full(votes.shape[1], RIDGE), 1e-9)
+    beta = np.append(np.zeros(votes.shape[1]), np.log(share / (1 - share)))
+    loss = lambda b: (weight * (np.logaddexp(0, x @ b) - labels * (x @ b))).sum() + (ridge * b * b).sum() / 2
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (labels - p)) - ridge @ beta)
-        beta += np.clip(step, -2, 2)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (labels - p)) - ridge * beta)
+        while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-9:
+            step /= 2
+        beta += step
         if np.abs(step).max() < 1e-9:
             break
-    return beta[:2], float(beta[2])
+    return beta[:-1], float(beta[-1])
 
 
-def choose_terms(sample: DataFrame, sizes: tuple[int, int], limit: int) -> np.ndarray:
-    """The terms whose presence differs most between labels, from docs(text, label); sizes are both labels' rows."""
+def examples(sample: DataFrame, limit: int = MAX_POSTINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count) of all terms of docs(doc_id, text, label), the terms as numbers, labels and ids.
 
+    Rows come in the order of a hash of the id and end before limit pairs would be passed; sample holds one row an id.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            value, row = terms(piece.column("text"))
-            y = np.asarray(piece.column("label").to_numpy(zero_copy_only=False), dtype=np.int64)
-            term, at = np.unique(value, return_inverse=True)
-            once = np.unique(at.astype(np.int64) * piece.num_rows + row)  # each term once per text
-            at, row = once // max(1, piece.num_rows), once % max(1, piece.num_rows)
-            ones = np.bincount(at, weights=y[row], minlength=len(term))
-            yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int64)), pa.array(np.bincount(at, minlength=len(term)).astype(np.int64)), pa.array(ones.astype(np.int64))], ["term", "n", "n1"])
-
-    both = F.lit(float(sizes[0])), F.lit(float(sizes[1]))
-    p0, p1 = (F.col("n") - F.col("n1") + 0.5) / (both[0] + 1), (F.col("n1") + 0.5) / (both[1] + 1)
-    mean = (F.col("n") + 1) / (both[0] + both[1] + 2)
-    z = F.abs(p1 - p0) / F.sqrt(mean * (1 - mean) * (1 / both[0] + 1 / both[1]))
-    rows = (
-        sample.mapInArrow(run, "term bigint, n bigint, n1 bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
-        .where(F.col("n") >= MIN_DOCS).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(limit).select("term").collect()
-    )
-    return np.sort(np.array([r["term"] for r in rows], dtype=np.int64).astype(_U))
+            value, row = term_counts(piece.column("text"))
+            found = [np.unique(value[row == r], return_counts=True) for r in range(piece.num_rows)]
+            yield pa.RecordBatch.from_arrays([
+                piece.column("doc_id"), piece.column("label"), pa.array([v.astype("<u8").tobytes() for v, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary()),
+            ], ["doc_id", "label", "terms", "counts"])
+
+    got, held = [], 0
+    for r in sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id bigint, label int, terms binary, counts binary").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        held += len(r["terms"]) // 8
+        if held > limit:
+            break
+        got.append((r["doc_id"], r["label"], np.frombuffer(bytes(r["terms"]), "<u8"), np.frombuffer(bytes(r["counts"]), "<i4")))
+    got.sort(key=lambda r: r[0])
+    values = np.concatenate([np.zeros(0, "<u8"), *(v for _, _, v, _ in got)])
+    known, term = np.unique(values, return_inverse=True)
+    row = np.repeat(np.arange(len(got)), [len(v) for _, _, v, _ in got])
+    by = np.lexsort((term, row))
+    count = np.concatenate([np.zeros(0, "<i4"), *(n for _, _, _, n in got)])
+    return row[by], term[by], count[by], known, np.array([y for _, y, _, _ in got], dtype=np.int64), np.array([i for i, _, _, _ in got], dtype=np.int64)
 
 
 def document_frequencies(texts: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of all texts each known term stands, and how many texts there are."""
+    """In how many of all texts each known term stands, and how many texts there are; pre-summed in each task."""
+    sent = texts.sparkSession.sparkContext.broadcast(known)  # terms of the examples, MAX_POSTINGS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, seen, total = Vocabulary(known), np.zeros(len(known), dtype=np.int64), 0
+        vocabulary, seen, total = Vocabulary(sent.value), np.zeros(len(sent.value), dtype=np.int64), 0
         for piece in pieces(batches, "text"):
-            seen += (vocabulary.counts(piece.column("text")) > 0).sum(0)
+            seen += np.bincount(vocabulary.sparse(piece.column("text"))[1], minlength=len(seen))
             total += piece.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(known))), pa.array(np.concatenate(([total], seen)))], ["k", "n"])
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], some))), pa.array(np.concatenate(([total], seen[some])))], ["k", "n"])
 
-    got = {r["k"]: r["n"] for r in texts.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    return np.array([got.get(k, 0) for k in range(len(known))], dtype=float), got.get(-1, 0)
+    got = texts.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = (np.asarray(got.column(c).to_numpy(), dtype=np.int64) for c in ("k", "n"))
+    out = np.zeros(len(known))
+    out[k[k >= 0]] = n[k >= 0]
+    return out, int(n[k < 0].sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = PER_CLASS) -> Model:
     sizes = class_counts(labels, target)
     share = min(max(sizes[1] / max(1, sum(sizes)), 1e-6), 1 - 1e-6)
-    nothing = Model(np.zeros(0, _U), np.zeros(0), BlockMaxIndex(np.zeros((0, 0), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros(2), float(np.log(share / (1 - share))))
+    none = np.zeros(0, np.int64)
+    nothing = Model(np.zeros(0, _U), np.zeros(0), BlockMaxIndex(none, none, np.zeros(0, np.float32), none, none, 0), np.zeros(2 * len(DEPTHS)), float(np.log(share / (1 - share))))
     if not min(sizes):
         return nothing
-    known = F.broadcast(labelled(labels, target, per_class))  # at most 2 * per_class rows
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(known, "doc_id")
-    chosen = choose_terms(sample.select("text", "label"), (min(sizes[0], per_class), min(sizes[1], per_class)), TERMS)
-    df, total = document_frequencies(texts.select("text"), chosen)
-    idf = np.log((total + 1) / (df + 1)) + 1e-3
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(chosen)
-        for piece in pieces(batches, "text"):
-            counts = vocabulary.counts(piece.column("text"))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), pa.array([c.astype("<f4").tobytes() for c in counts], pa.binary())], ["doc_id", "label", "counts"])
-
-    rows = sorted((r["doc_id"], bytes(r["counts"]), r["label"]) for r in sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id bigint, label int, counts binary").toLocalIterator())
-    if len({y for _, _, y in rows}) < 2 or not len(chosen):
+    chosen = F.broadcast(labelled(labels, target, per_class))  # at most 2 * per_class rows
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    row, term, count, known, y, ids = examples(texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")))
+    if len(set(y.tolist())) < 2 or not len(known):
         return nothing
-    counts = np.array([np.frombuffer(c, "<f4") for _, c, _ in rows])
-    y = np.array([y for _, _, y in rows], dtype=np.int64)
-    vectors = weigh(counts, idf)
-    full = vectors.any(1)
-    index = BlockMaxIndex(vectors[full], y[full], np.array([i for i, _, _ in rows], dtype=np.int64)[full])
-    cosines, places = index.search(index.vectors, leave=np.arange(len(index.vectors)))
-    votes = np.concatenate((vote(cosines, places, index.labels), np.zeros(((~full).sum(), 2))))
-    return Model(chosen, idf, index, *calibrate(votes, np.concatenate((index.labels, y[~full])), share))
+    df, total = document_frequencies(texts.select("text"), known)
+    idf = np.log((total + 1) / (df + 1)) + 1e-3
+    index = BlockMaxIndex(row, term, weigh(row, term, count, idf, len(y)), y, ids, len(known))
+    place = np.empty(len(y), dtype=np.int64)
+    place[np.searchsorted(ids, index.ids)] = np.arange(len(y))  # ids are sorted in the sample
+    shared = np.bincount(term, minlength=len(known))[term] > 1  # what only one example holds could not match a query's
+    row, term, count = row[shared], term[shared], count[shared]
+    weight, votes = weigh(row, term, count, idf, len(y)), []
+    for a in range(0, len(y), 256):
+        b = min(a + 256, len(y))
+        i, j = np.searchsorted(row, [a, b])
+        votes.append(vote(*index.search(row[i:j] - a, term[i:j], weight[i:j], b - a, leave=place[a:b]), index.labels))
+    return Model(known, idf, index, *calibrate(np.concatenate(votes), y, share))
 
 
 def _scored(spark: SparkSession, model: Model):
-    sent = spark.sparkContext.broadcast(model)  # TERMS * 2 * PER_CLASS numbers at most
+    sent = spark.sparkContext.broadcast(model)  # MAX_POSTINGS postings at most
 
     def run(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, Model]:
-        m = sent.value
-        return *m.score(Vocabulary(m.terms).counts(piece.column("text"))), m
+        return *sent.value.score(piece.column("text")), sent.value
 
     return run
 
@@ -265,7 +343,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     scored = _scored(docs.sparkSession, fit(docs, labels, "toxic", per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             s, cosines, places, m = scored(piece)
             evidence = [
                 [{"doc_id": int(m.index.ids[p]), "cosine": float(c), "toxic": int(m.index.labels[p])} for c, p in zip(cs, ps, strict=True) if p >= 0]
@@ -282,7 +360,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, columns: list[str], per_class
     scored = _scored(docs.sparkSession, fit(docs, labels, "toxic", per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             s, *_ = scored(piece)
             yield piece.filter(pa.array(s < threshold))
 
