@@ -1,17 +1,22 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Pass one looks at each block alone: the share of its words that
-are frequent function words (stop-word density), its length, and the share of its characters inside links
-(link density) make it good, bad, near-good or short. Pass two decides the blocks left open: an ambiguous short
-block takes the label of its nearest decided neighbours, headings look ahead to the text that they introduce.
+are frequent function words (stop-word density), its length, and the share of its characters inside links (link
+density) make it good, bad or ambiguous. In pass two every ambiguous block (short, or of middling density)
+takes the label of its nearest decided neighbour, where near means few blocks and few steps through the tree of
+elements between both, so that the last short line of an article goes with the article and not with the footer.
 
-Before both passes the parts whose markup says what they are go: scripts, styles, forms, navigation, headers
-and footers of the page, asides, and elements whose class, id or role names an advert, a notice, a menu, a
-sidebar or reader comments. Where the markup names the article itself, undecided blocks outside it are bad.
+Markup is a feature beside these. Scripts, styles and controls are never text. Elements that say that they are a
+menu, header, footer, sidebar, notice, advert, form or reader comments (by tag, role or a whole class or id
+token) make their blocks bad, unless such an element holds most of the page's running text (nearly all of it for
+comments): then it is a wrapper and says nothing. Where the markup names an article that holds most of the running text, blocks
+outside it are bad. What is inside is decided by the rules.
 
-Defined cases: null or empty html gives an empty text; markup that never closes is closed at the end of the
-page; a page without any good block keeps its near-good ones; unknown entities stay as written; control characters other than white space stay. Repeated rows give
-repeated results; only page_id, url and html are read.
+Defined cases: null or empty html gives an empty text; markup that never closes is closed at the end of the page,
+and a tag cut off there is dropped; in a page without any good block the ambiguous one that looks most like
+running text stands for it; ties between neighbours go to the text; unknown entities stay as written; control
+characters other than white space stay. Very long pages are parsed whole, in time that grows with their
+length. Repeated rows give repeated results, an empty table an empty one; only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -37,194 +42,298 @@ STOP_WORDS = frozenset(
     " il di che è e per non una sono con del della da si dei le gli alla nel come anche".split()
 )  # fixed values
 
-#: Elements whose whole content is never main text, and void elements.
-DROPPED = frozenset("script style noscript template head form nav footer aside iframe object embed svg canvas button select textarea dialog menu math audio video map datalist input label".split())
+#: Elements whose content is never text, void elements, and elements whose content is not markup.
+DROPPED = frozenset("script style noscript template iframe object embed svg canvas button select textarea math audio video map datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
-BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Words in class, id or role that name what an element holds.
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CLOSED_BY_NEXT = frozenset("li dd dt tr td th option".split())
+#: Elements that say by their tag that they are not the article.
+HINTED = frozenset("nav footer aside form header menu dialog label legend".split())
+#: What a whole class or id token or a role may be: one of these, with words of position before and of shape behind.
 _NAMED = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adslot|adbox|adsense|banner|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|paywall|"
-    r"nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|side-?bar|widget\w*|related|recommend\w*|trending|share|sharing|social|follow|toolbar|"
-    r"comments?|comment-?list|respond|replies|reply|disqus|discussion|footer\w*|foot|masthead|site-?header|page-?header|topbar|copyright|legal|disclaimer|login|signin|signup|search\w*|skip\w*|tags?|byline-links|hidden|"
-    r"complementary|contentinfo|navigation)(?![a-z])"
+    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|user|reader|post|article|cookie|email|social|google|side|js|c|m|l)-)*"
+    r"(?:ads?|advert|adverts|advertisement|advertising|adslot|adbox|adsense|banner|sponsor|sponsored|promo|promotion|promoted|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|paywall|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|widget|widgets|related|recommended|recommendations|trending|share|sharing|social|follow|toolbar|"
+    r"(?P<talk>comments?|commentlist|respond|replies|reply|disqus|discussion)|footer|masthead|header|topbar|copyright|legal|disclaimer|login|signin|signup|search|searchform|skiplink|skip|tags|hidden|complementary|contentinfo)"
+    r"(?:-(?:list|box|bar|section|area|container|wrapper|wrap|block|links?|menu|banner|notice|text|form|body|content|slot|unit|label|buttons?|icons?|posts?|articles?|stories|items?|thread|message|signup|nav|inner|outer|top|bottom|left|right|header|footer|overlay|popup|widget|[0-9]+))*[0-9]*"
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_IN_TAG = re.compile(r">|=\s*[\"']")
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+_ENDS = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in RAW}
 
-#: Thresholds of the first pass.
+#: Thresholds of the first pass: length in characters, share of stop-words, share of characters in links.
 SHORT, LONG = 70, 200
 STOPS_LOW, STOPS_HIGH = 0.05, 0.15
-LINKS_HIGH = 0.3
-#: A short block looks this many characters of blocks away for its neighbours; headings look that far ahead.
-HEADING_REACH = 200
+LINKS_SOME, LINKS_HIGH = 0.1, 0.3
+#: An element that holds more of the running text than this is a wrapper, whatever its name; for comments the second.
+WRAPPER, TALK = 0.5, 0.9
+#: Blocks that a step through the tree counts for, and steps that the border of a named article counts for.
+TREE, BORDER = 64, 4
+#: Elements nested deeper count as standing at this depth.
+DEPTH = 512
 
 
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    heading: bool = False
-    inside: bool = False
+    path: tuple[int, ...] = ()
+    hint: int = -1  #: innermost element around it that hints at boilerplate
+    article: int = -1
     text: str = ""
+    stops: float = 0.0
+    links: float = 0.0
     label: str = ""
 
 
-def _hides(name: str, attrs: str, in_article: bool) -> bool:
-    if name in DROPPED:
-        return True
-    if name == "header" and not in_article:
-        return True
+@dataclass
+class Page:
+    blocks: list[Block] = field(default_factory=list)
+    talks: list[bool] = field(default_factory=list)  #: for each element that hints at boilerplate: is it of comments
+    outer: list[int] = field(default_factory=list)  #: and the hinting element around it, or -1
+
+
+def _hint(name: str, attrs: str, in_article: bool) -> str:
+    """What an element says about itself: nothing, boilerplate or talk."""
+    if name in HINTED and not (name == "header" and in_article):
+        return "boilerplate"
     if attrs and name not in ("html", "body", "article", "main"):
         for key, a, b, c in _ATTR.findall(attrs):
-            key, value = key.lower(), (a or b or c).lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-            if key in ("class", "id", "role") and _NAMED.search(value.replace("_", "-")):
-                return True
-    return False
-
-
-def blocks_of(html: str) -> tuple[list[Block], bool]:
-    """Blocks of a page in order, and whether its markup names an article."""
-    out: list[Block] = []
-    now = Block()
-    stack: list[tuple[str, bool]] = []  # open block-level or dropped elements, and whether each is dropped
-    hidden = links = headings = articles = 0
-    named = False
+            key, value = key.lower(), entities.unescape(a or b or c).lower()
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
+                return "boilerplate"
+            if key in ("class", "id", "role"):
+                for token in value.replace("_", "-").split():
+                    if m := _NAMED.fullmatch(token):
+                        return "talk" if m["talk"] else "boilerplate"
+    return ""
+
+
+def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, closes, name, attributes) of every tag, comment (no name) and raw element, in one pass."""
+    at, size = 0, len(html)
+    gone: dict[str, bool] = {}  # what does not stand in the rest of the page
+
+    def find(what: str, begin: int) -> int:
+        if gone.get(what):
+            return -1
+        k = html.find(what, begin)
+        gone[what] = k < 0
+        return k
+
+    while (begin := html.find("<", at)) >= 0:
+        after = html[begin + 1 : begin + 9]
+        if after[:1] in ("!", "?"):
+            mark = "-->" if after.startswith("!--") else "]]>" if after.startswith("![CDATA[") else ">"
+            k = find(mark, begin + (4 if mark == "-->" else 2))
+            at = size if k < 0 else k + len(mark)
+            yield begin, at, False, "", ""
+            continue
+        m = _OPEN.match(html, begin)
+        if not m:
+            at = begin + 1
+            continue
+        k = m.end()
+        while True:
+            n = _IN_TAG.search(html, k)
+            if n is None:
+                k = size
+                break
+            k = n.end()
+            if n[0] == ">":
+                break
+            close = find(n[0][-1], k)
+            k = k if close < 0 else close + 1
+        name = m[2].lower()
+        attrs = html[m.end() : k - 1]
+        if not m[1] and name in RAW:
+            end = None if gone.get(name) else _ENDS[name].search(html, k)
+            gone[name] = end is None
+            k = end.end() if end else size
+            yield begin, k, False, "", ""
+        else:
+            yield begin, k, bool(m[1]), name, attrs
+        at = k
+
+
+def parse(html: str) -> Page:
+    """Blocks of a page in order, each with where it stands and what its elements say."""
+    page, now = Page(), Block()
+    stack: list[tuple[str, int, int, bool, bool]] = []  # open elements: name, own number, hint, dropped, article
+    counts: dict[str, int] = {}  # open elements by name
+    path, hints, articles = [], [], []
+    where: tuple[int, ...] | None = ()  # path as a tuple, shared by the blocks that stand there
+    dropped = links = made = 0
 
     def close() -> None:
         nonlocal now
         text = _SPACE.sub(" ", entities.unescape("".join(now.parts))).strip()
         if text:
             now.text = text
-            out.append(now)
-        now = Block(heading=headings > 0, inside=articles > 0)
+            page.blocks.append(now)
+        now = Block()
 
-    at, size = 0, len(html)
-    while at < size:
-        m = _TAG.search(html, at)
-        begin = m.start() if m else size
-        if begin > at and not hidden:
-            piece = html[at:begin]
-            now.parts.append(piece)
-            now.inside |= articles > 0
-            if links:
-                now.linked += len(piece.strip())
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
+    def pop() -> None:
+        nonlocal dropped, where
+        name, number, hint, drop, article = stack.pop()
+        counts[name] -= 1
+        dropped -= drop
+        if number >= 0:
+            path.pop()
+            where = None
+        if hint >= 0:
+            hints.pop()
+        if article:
+            articles.pop()
+
+    def add(piece: str) -> None:
+        nonlocal where
+        if not now.parts:
+            where = tuple(path) if where is None else where
+            now.path, now.hint, now.article = where, hints[-1] if hints else -1, articles[-1] if articles else -1
+        now.parts.append(piece)
+        if links:
+            now.linked += len(piece.strip())
+
+    done = 0
+    for begin, end, closes, name, attrs in tags(html):
+        if begin > done and not dropped:
+            add(html[done:begin])
+        done = end
         if not name:
             continue
-        if not m[1]:  # opens
-            if name == "br" or name == "wbr":
-                if name == "br" and not hidden:
-                    now.parts.append("\n")
+        if name in ("br", "wbr"):
+            if name == "br" and not dropped:
+                add("\n")
+        elif name in VOID:
+            if name == "hr" and not dropped:
+                close()
+        elif name == "a":
+            links = max(0, links + (-1 if closes else 1)) if not dropped else links
+        elif not closes:
+            if attrs.endswith("/") and name not in BLOCKS:
                 continue
-            if name in VOID:
-                if name == "hr" and not hidden:
-                    close()
+            hint, drop = _hint(name, attrs, bool(articles)), name in DROPPED
+            if not (name in BLOCKS or hint or drop):
                 continue
-            if name in RAW:  # its content is not markup
-                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = end.end() if end else size
-                continue
-            if m[3].endswith("/") and name not in BLOCKS:
-                continue
-            if name == "a":
-                links += not hidden
-                continue
-            drop = _hides(name, m[3], articles > 0)
-            if name in BLOCKS or drop:
-                if name == "p" or name in ("li", "dd", "dt", "tr", "td", "th", "option"):  # closed by the next of its kind
-                    while stack and (stack[-1][0] == "p" or stack[-1][0] == name and name != "p"):
-                        gone, was = stack.pop()
-                        hidden -= was
-                if not hidden:
-                    close()
-                hidden += drop
-                stack.append((name, drop))
-                if not hidden:
-                    headings += name[0] == "h" and name[1:].isdigit()
-                    if name in ("article", "main"):
-                        articles += 1
-                        named = True
-                    now.heading, now.inside = headings > 0, articles > 0
-                links = 0 if name in BLOCKS else links
-        else:
-            if name == "a":
-                links = max(0, links - (not hidden))
-                continue
-            if name in BLOCKS or any(n == name for n, _ in stack):
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-                if depth is None:
-                    continue
-                if not hidden:
-                    close()
-                while len(stack) > depth:
-                    gone, was = stack.pop()
-                    if not hidden:
-                        headings -= gone[0] == "h" and gone[1:].isdigit()
-                        articles -= gone in ("article", "main")
-                    hidden -= was
-                now.heading, now.inside = headings > 0, articles > 0
+            if name == "p" or name in CLOSED_BY_NEXT:
+                while stack and (stack[-1][0] == "p" or stack[-1][0] == name):
+                    pop()
+            if not dropped:
+                close()
+            made += 1
+            article = name in ("article", "main")
+            if hint:
+                page.talks.append(hint == "talk")
+                page.outer.append(hints[-1] if hints else -1)
+                hints.append(len(page.talks) - 1)
+            deep = len(path) >= DEPTH
+            if not deep:
+                path.append(made)
+                where = None
+            if article:
+                articles.append(made)
+            dropped += drop
+            counts[name] = counts.get(name, 0) + 1
+            stack.append((name, -1 if deep else made, len(page.talks) - 1 if hint else -1, drop, article))
+            links = 0 if name in BLOCKS else links
+        elif counts.get(name):
+            if not dropped and name in BLOCKS or not drop_only(stack, name):
+                close()
+            while stack[-1][0] != name:
+                pop()
+            pop()
+            links = 0 if name in BLOCKS else links
+    if done < len(html) and not dropped:
+        add(html[done:])
     close()
-    return out, named
+    return page
 
 
-def classify(blocks: list[Block], named: bool) -> None:
-    """Both passes; afterwards every label is good or bad."""
-    for b in blocks:
+def drop_only(stack: list[tuple[str, int, int, bool, bool]], name: str) -> bool:
+    """Whether an element is open only because its content is dropped; its end then is no border of a block."""
+    return stack[-1][0] == name and stack[-1][3]
+
+
+def first_pass(page: Page) -> None:
+    """Labels each block by itself, then by what its elements say."""
+    for b in page.blocks:
         words = _WORD.findall(b.text.lower())
-        stops = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
-        links = b.linked / max(1, len(b.text))
-        if links > LINKS_HIGH:
-            b.label = "bad"
-        elif b.text[0] in "©" or named and not b.inside:
+        b.stops = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+        b.links = b.linked / max(1, len(b.text))
+        if b.links > LINKS_HIGH or b.text[0] == "©" or len(b.text) < SHORT and b.links > LINKS_SOME:
             b.label = "bad"
         elif len(b.text) < SHORT:
-            b.label = "bad" if b.linked and links > 0.1 else "short"
-        elif stops >= STOPS_HIGH:
-            b.label = "good" if len(b.text) > LONG or b.inside else "near"
-        elif stops >= STOPS_LOW:
-            b.label = "near"
+            b.label = "short"
+        elif b.stops >= STOPS_HIGH and len(b.text) > LONG:
+            b.label = "good"
         else:
-            b.label = "near" if b.inside else "bad"
-    # pass two: nearest decided neighbours, over the labels of pass one
+            b.label = "near"
+    running = [len(b.text) if b.label != "bad" else 0 for b in page.blocks]
+    held, total = [0] * len(page.talks), sum(running)
+    for b, n in zip(page.blocks, running, strict=True):
+        if b.hint >= 0:
+            held[b.hint] += n
+    out = [False] * len(held)
+    for h in range(len(held) - 1, -1, -1):  # inner elements come after outer ones
+        if page.outer[h] >= 0:
+            held[page.outer[h]] += held[h]
+    for h, n in enumerate(held):
+        wrapper = n > LONG and n > (TALK if page.talks[h] else WRAPPER) * total
+        out[h] = not wrapper or page.outer[h] >= 0 and out[page.outer[h]]
+    for b in page.blocks:
+        if b.hint >= 0 and out[b.hint]:
+            b.label = "bad"
+    left = [(len(b.text), b.article >= 0) for b in page.blocks if b.label != "bad"]
+    if 2 * sum(n for n, inside in left if inside) > sum(n for n, _ in left):  # the markup names an article
+        for b in page.blocks:
+            if b.article < 0:
+                b.label = "bad"
+
+
+def steps(a: Block, b: Block) -> int:
+    """Elements to leave and enter between two blocks; the borders of a named article and of a hint count for more."""
+    k = 0
+    for x, y in zip(a.path, b.path, strict=False):
+        if x != y:
+            break
+        k += 1
+    return len(a.path) + len(b.path) - 2 * k + BORDER * (a.article != b.article) + (a.hint != b.hint)
+
+
+def second_pass(blocks: list[Block]) -> None:
+    """Ambiguous blocks take the label of their nearest decided neighbour; afterwards every label is good or bad."""
     first = [b.label for b in blocks]
-    n = len(blocks)
-    left, right = ["bad"] * n, ["bad"] * n
-    for k, seen in ((range(n), left), (range(n - 1, -1, -1), right)):
-        last, near = ("good" if named else "bad"), False
-        for i in k:
-            seen[i] = "near" if near and last == "bad" else last
-            if first[i] in ("good", "bad") and (blocks[i].inside or not named):
-                last, near = first[i], False
-            elif first[i] == "near":
-                near = True
-    any_good = "good" in first
+    if "good" not in first:  # the ambiguous block that looks most like running text stands for it
+        open_ones = [i for i, x in enumerate(first) if x != "bad"]
+        if open_ones:
+            first[max(open_ones, key=lambda i: (min(blocks[i].stops, STOPS_HIGH) * len(blocks[i].text), len(blocks[i].text), -i))] = "good"
+    near: list[list[int]] = [[] for _ in blocks]
+    for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
+        last: dict[str, int] = {}
+        for i in order:
+            near[i] += last.values()
+            if first[i] in ("good", "bad"):
+                last[first[i]] = i
     for i, b in enumerate(blocks):
-        if first[i] == "near":
-            b.label = "bad" if any_good and left[i] == right[i] == "bad" else "good"
-        elif first[i] == "short":
-            around = {left[i], right[i]}
-            if around == {"good"} or b.inside and "good" in around:
-                b.label = "good"
-            elif "bad" not in around or b.heading and right[i] != "bad":
-                b.label = "good"
-            else:
-                b.label = "bad"
+        b.label = first[i]
+        if first[i] in ("near", "short"):
+            around = [(TREE * steps(b, blocks[j]) + abs(i - j), first[j] != "good") for j in near[i]]
+            b.label = "bad" if min(around)[1] else "good"
 
 
 def extract(html: str | None) -> tuple[str, int, int]:
     """Main text, number of blocks and number of blocks kept."""
-    blocks, named = blocks_of(html or "")
-    classify(blocks, named)
-    kept = [b.text for b in blocks if b.label == "good"]
-    return "\n\n".join(kept), len(blocks), len(kept)
+    page = parse(html or "")
+    first_pass(page)
+    second_pass(page.blocks)
+    kept = [b.text for b in page.blocks if b.label == "good"]
+    return "\n\n".join(kept), len(page.blocks), len(kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

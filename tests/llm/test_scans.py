@@ -100,14 +100,73 @@ def test_html_without_named_article():
     assert html_blocks.extract(page)[0] == "\n\n".join([text.strip(), "And more.", text.strip()])
 
 
-def test_html_real_pages(real):
-    rows = real("pages").select("page_id", "html").collect()
-    got = {r["page_id"]: r for r in html_blocks.extract_pages(real("pages")).collect()}
+def _blocks_of_article(page):
+    art = page.split("<article>")[1].split("</article>")[0].split("<footer")[0]
+    blocks = [re.sub(r"\s+", " ", html_blocks.entities.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " ")))).strip() for b in re.split("</?(?:p|h1)>", art)]
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_html_real_pages(spark):
+    """The rules find the article with its tag and without it, and without the tags of menu and footer."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.select("page_id", "html").collect()
+    got = {r["page_id"]: r for r in html_blocks.extract_pages(pages).collect()}
+    same = plain = bare = 0
     for r in rows:
-        art = r["html"].split("<article>")[1].split("</article>")[0].split("<footer")[0]
-        blocks = [re.sub(r"\s+", " ", html_blocks.entities.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " ")))).strip() for b in re.split("</?(?:p|h1)>", art)]
-        assert got[r["page_id"]]["text"] == "\n\n".join(b for b in blocks if b)
-        assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
+        want = _blocks_of_article(r["html"])
+        text = got[r["page_id"]]["text"]
+        assert got[r["page_id"]]["n_chars"] == len(text)
+        same += text == want
+        div = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r["html"])
+        plain += html_blocks.extract(div)[0] == want
+        bare += html_blocks.extract(re.sub(r"<(/?)(?:nav|footer)\b", r"<\1div", r["html"]).replace(' class="ad"', ""))[0] == want
+    assert same >= 0.98 * len(rows) and plain >= 0.96 * len(rows) and bare >= 0.96 * len(rows)
+
+
+RUNNING = "It is one of the things that was said to be in the town when it was the first of the year and all of them had been there. "
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="has-sidebar">', '<div class="page with-comments">', '<div class="no-ads">', '<div class="nav-closed wrapper">', '<div class="story-share-wrapper">', '<div class="legal-news">',
+    '<div class="tags-politics">', '<div class="content hidden">', "<form>", "<p title=it's>", "<p data-x=\"it's\">", '<div title="a > b">',
+])
+def test_html_wrappers_say_nothing(wrapper):
+    page = f"<body><nav><a href=x>Home</a></nav><article>{wrapper}<h1>Title</h1><p>{RUNNING * 3}<p>That's all of 'it'.</article><footer>The end of it.</footer></body>"
+    assert html_blocks.extract(page)[0] == f"Title\n\n{(RUNNING * 3).strip()}\n\nThat's all of 'it'."
+    assert html_blocks.extract(page.replace("article", "div"))[0] == html_blocks.extract(page)[0]
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="sidebar">{}</div>', '<div id="comments"><p>{}</p></div>', '<section class="comment-list">{}</section>', '<aside>{}</aside>', '<div class="cookie-banner">{}</div>', '<div class="ad-slot-3">{}</div>',
+    '<div role="navigation">{}</div>', '<div style="display: none">{}</div>', "<form><p>{}</p></form>", '<div class="ad">{}</div>', '<div class="newsletter-signup box">{}</div>', "<script>{}</script>", "<style>{}</style>",
+])
+def test_html_parts_go(part):
+    page = f"<body><div><h1>Title</h1><p>{RUNNING * 3}</p><p>{RUNNING * 2}</p>{part.format(RUNNING * 2)}</div></body>"
+    assert html_blocks.extract(page)[0] == "\n\n".join(["Title", (RUNNING * 3).strip(), (RUNNING * 2).strip()])
+
+
+def test_html_long_comments_go():
+    page = f"<body><div><p>{RUNNING * 2}</p></div><div id='comments'>{''.join(f'<p>{RUNNING}</p>' for _ in range(10))}</div></body>"
+    assert html_blocks.extract(page)[0] == (RUNNING * 2).strip()
+
+
+def test_html_lists_of_links_and_short_lines():
+    links = "".join(f'<li><a href="{i}">One of the things {i}</a></li>' for i in range(5))
+    page = f"<body><ul>{links}</ul><p>Short before.</p><p>{RUNNING * 3}</p><ul><li>first</li><li>second</li></ul><p>{RUNNING * 2}</p><p>Short after.</p><div><ul>{links}</ul></div></body>"
+    assert html_blocks.extract(page)[0] == "\n\n".join(["Short before.", (RUNNING * 3).strip(), "first", "second", (RUNNING * 2).strip(), "Short after."])
+
+
+@pytest.mark.parametrize("unit", ['<a "', '<p class="', "<p class='", "<!--", "<![CDATA[", "<script>", "<textarea>", "<p>x</div>", "<div>x</b>", "<", "<a href=", "&", "<div class=ad>x", "= '"])
+def test_html_time_is_linear(unit):
+    import time
+
+    def took(n):
+        begin = time.perf_counter()
+        html_blocks.extract(unit * n)
+        return time.perf_counter() - begin
+
+    took(1_000)
+    assert took(40_000) < 25 * max(took(4_000), 0.005)
 
 
 def test_html_odd(spark):
