@@ -1,54 +1,61 @@
 """BPE encoding and decoding by content-defined chunk reuse.
 
-A text is cut where a rolling hash over the bytes before a plain space or line feed says so; the cuts depend on
-the content alone, so a passage that stands in many documents falls into the same chunks in each of them. A
-worker encodes each distinct chunk once (within a bounded memory of chunks) and joins the results. The join of
-two chunks is then checked: the last piece of the left one and the first piece of the right one are encoded
-together, as the library sees them; where that disagrees with the two encodings apart, the chunks are joined
-and encoded anew, and so on with the next, until both agree.
-
-Within a chunk the pieces that the tokenizer encodes apart are looked up in a bounded memory of pieces; only
-unknown ones go to the library. Both memories are emptied when full: that costs time and never a result.
+A text is cut where a rolling hash over the CUT_SPAN characters before a place says so, inside words as well as
+between them; the cuts depend on the content alone, so a passage that stands in many documents falls into the
+same chunks in each of them. A worker encodes each distinct chunk once, within a bounded memory of chunks: what
+stands between the first and the last plain white space of the chunk. The ends that a cut tore off are repaired:
+what is left of the last word of one chunk, whole chunks without white space, and what the next one begins with
+are put together and encoded anew, up to the next white space, where the library's own splitting agrees with the
+chunks' whatever stands on either side.
+
+The words of chunks that are not in memory are looked up in a bounded memory of pieces (runs that the tokenizer
+encodes apart); the unknown ones of a batch go to the library in one call and are told apart by the tokens that
+end a word. Both memories have two generations, so that what is used stays; a full memory costs time and never a
+result.
 
 Null and empty texts: no tokens, hashes of the empty string. Texts that hold a special token's own string are
-encoded whole by the library, as such strings may swallow or split pieces. Repeated rows give repeated results.
+encoded whole by the library, as such strings may swallow or split pieces. Very long texts and words are encoded
+whole, never cut off. Repeated rows give repeated results, an empty table an empty one; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from eventide.llm.common import pieces
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-#: A chunk ends at a space or line feed where the hash of the CUT_SPAN characters before it is 0 modulo CUT_EVERY.
-CUT_SPAN, CUT_EVERY = 8, 128
-#: What a worker remembers: some tens of MB together.
-CHUNKS_KEPT, PIECES_KEPT, JOINS_KEPT = 4_000, 100_000, 20_000
+#: A chunk ends where the hash of the CUT_SPAN characters before is 0 modulo CUT_EVERY, LEAST characters after the last cut at the earliest.
+CUT_SPAN, CUT_EVERY, LEAST = 8, 256, 32
+#: What a generation of a worker's memories holds, and how long a remembered chunk or piece may be: some tens of MB together.
+CHUNKS_KEPT, PIECES_KEPT, CHUNK_SIZE, PIECE_SIZE = 4_000, 150_000, 4_096, 128
+END = "</w>"
+
 
+class Memory(dict):
+    """What is used stays: when the young generation is full it becomes the old one, and the old one goes."""
 
-class Pieces(dict):
-    """Piece without white space -> (tokens, ids as text, tokens as text); two generations bound the memory."""
+    def __init__(self, limit: int) -> None:
+        self.limit, self.older = limit, {}
 
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
-        self.older: dict[str, tuple] = {}
+    def find(self, key: str):
+        out = self.get(key)
+        if out is None and (out := self.older.get(key)) is not None:
+            self.keep(key, out)
+        return out
 
-    def __missing__(self, piece: str) -> tuple[int, str, str]:
-        out = self.older.get(piece)
-        if out is None:
-            got = self.tokenizer.encode(piece, add_special_tokens=False)
-            out = (len(got.ids), " ".join(map(str, got.ids)), self.tokenizer.decode(got.ids, skip_special_tokens=False))
-        if len(self) >= PIECES_KEPT:
+    def keep(self, key: str, value) -> None:
+        if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
-        self[piece] = out
-        return out
+        self[key] = value
 
 
 # For characters below U+0250 and common punctuation, the tokenizer's own splitting pattern can be applied here:
@@ -68,12 +75,19 @@ def split(text: str) -> list[str]:
     return [w for w in text.replace("\n", " ").split(" ") if w]
 
 
-class ChunkCoder:
-    """encode(text) -> (tokens, their ids joined by spaces, the decoded text)."""
+Coded = tuple[int, str, str]  # tokens, their ids joined by spaces, the decoded text
 
-    def __init__(self, path: str) -> None:
-        import json
 
+def joined(parts: list[Coded]) -> Coded:
+    full = [p for p in parts if p[0]]
+    if not full:
+        return 0, "", ""
+    n, ids, shown = zip(*full, strict=True)
+    return sum(n), " ".join(ids), " ".join(shown)
+
+
+class ChunkCoder:
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -81,76 +95,95 @@ class ChunkCoder:
         self.tokenizer.no_padding()
         with open(path) as f:
             self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
-        self.pieces = Pieces(self.tokenizer)
-        self.chunks: dict[str, tuple] = {}
-        self.joins: dict[tuple[str, str], bool] = {}
+        self.shown = {i: t for t, i in self.tokenizer.get_vocab().items()}
+        self.ends = frozenset(i for i, t in self.shown.items() if t.endswith(END))
+        self.pieces, self.chunks = Memory(PIECES_KEPT), Memory(CHUNKS_KEPT)
+        self.reused = self.repaired = 0  # characters of chunks found in memory, words put together across cuts
 
-    def whole(self, text: str) -> tuple[int, str, str]:
+    def whole(self, text: str) -> Coded:
         got = self.tokenizer.encode(text, add_special_tokens=False)
         return len(got.ids), " ".join(map(str, got.ids)), self.tokenizer.decode(got.ids, skip_special_tokens=False)
 
     def cuts(self, text: str) -> list[int]:
-        """Ends of the chunks: content-defined, at plain white space only."""
-        import numpy as np
-
+        """Ends of the chunks: content-defined, anywhere."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        if len(codes) <= CUT_SPAN:
-            return [len(text)]
-        at = np.flatnonzero((codes == 32) | (codes == 10))
-        at = at[at >= CUT_SPAN]
-        h = np.zeros(len(at), dtype=np.uint32)
-        for k in range(CUT_SPAN, 0, -1):
-            h = h * np.uint32(2654435761) + codes[at - k]
-        h ^= h >> np.uint32(15)
-        return [*at[(h * np.uint32(2246822519) >> np.uint32(8)) % np.uint32(CUT_EVERY) == 0].tolist(), len(text)]
-
-    def chunk(self, text: str) -> tuple:
-        """(tokens, ids, decoded, first piece, last piece) of one chunk."""
-        out = self.chunks.get(text)
-        if out is None:
-            words = split(text)
-            if not words:
-                out = (0, "", "", "", "")
-            else:
-                known = self.pieces
-                got = [known[w] for w in words]
-                out = (sum(g[0] for g in got), " ".join([g[1] for g in got if g[0]]), " ".join([g[2] for g in got if g[0]]), words[0], words[-1])
-            if len(self.chunks) >= CHUNKS_KEPT:
-                self.chunks.clear()
-            self.chunks[text] = out
+        out, last = [], 0
+        if len(codes) > CUT_SPAN:
+            h = np.zeros(len(codes) - CUT_SPAN, dtype=np.uint32)
+            for k in range(CUT_SPAN):
+                h = h * np.uint32(2654435761) + codes[k : k + len(h)]
+            h ^= h >> np.uint32(15)
+            for at in (np.flatnonzero((h * np.uint32(2246822519) >> np.uint32(8)) % np.uint32(CUT_EVERY) == 0) + CUT_SPAN).tolist():
+                if at >= last + LEAST:
+                    out.append(at)
+                    last = at
+        return [*out, len(text)]
+
+    def learn(self, words: set[str]) -> dict[str, Coded]:
+        """The codes of words that are not in memory: those of one piece each in one call, the others one by one."""
+        plain = [w for w in words if w.isascii() or _PLAIN.fullmatch(w)]
+        out: dict[str, Coded] = {}
+        if plain:
+            ids = self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids
+            ends = [k + 1 for k, i in enumerate(ids) if i in self.ends]
+            if len(ends) == len(plain) and (not ids or ends[-1] == len(ids)):
+                for w, a, b in zip(plain, [0, *ends], ends, strict=False):
+                    out[w] = (b - a, " ".join(map(str, ids[a:b])), " ".join([self.shown[i] for i in ids[a:b]]))
+        for w in words:
+            if w not in out:
+                out[w] = self.whole(w)
+            if len(w) <= PIECE_SIZE:
+                self.pieces.keep(w, out[w])
         return out
 
-    def agree(self, left: str, right: str) -> bool:
-        """Whether the library gives for both pieces together what it gives for each."""
-        if not left or not right:
-            return True
-        key = (left, right)
-        ok = self.joins.get(key)
-        if ok is None:
-            a, b, both = self.pieces[left], self.pieces[right], self.whole(f"{left} {right}")
-            ok = both[:2] == (a[0] + b[0], " ".join(x for x in (a[1], b[1]) if x))
-            if len(self.joins) >= JOINS_KEPT:
-                self.joins.clear()
-            self.joins[key] = ok
-        return ok
-
-    def encode(self, text: str) -> tuple[int, str, str]:
-        if not text:
-            return 0, "", ""
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        parts, begin, open_from = [], 0, 0
-        for end in self.cuts(text):
-            got = self.chunk(text[begin:end])
-            if parts and not self.agree(parts[-1][4], got[3]):
-                n, ids, shown = self.whole(text[open_from:end])  # repair: both chunks as one
-                parts[-1] = (n, ids, shown, parts[-1][3], got[4] or parts[-1][4])
-            elif got[0] or got[3]:
-                parts.append(got)
-                open_from = begin
-            begin = end
-        full = [p for p in parts if p[0]]
-        return sum(p[0] for p in full), " ".join([p[1] for p in full]), " ".join([p[2] for p in full])
+    def encode_all(self, texts: list[str]) -> list[Coded]:
+        """Chunks and torn words of all texts first, then the unknown words of all at once, then the results."""
+        plans: list[Coded | list] = []
+        new: dict[str, list[str] | Coded] = {}  # chunk or torn word -> its pieces
+        known: dict[str, Coded] = {}  # pieces of this batch
+        for text in texts:
+            if not text or any(s in text for s in self.special):
+                plans.append(self.whole(text) if text else (0, "", ""))
+                continue
+            plan, begin, torn = [], 0, []
+            for end in self.cuts(text):
+                chunk = text[begin:end]
+                begin = end
+                first = min(k for k in (chunk.find(" "), chunk.find("\n"), len(chunk)) if k >= 0)
+                if first == len(chunk):
+                    torn.append(chunk)
+                    continue
+                last = max(chunk.rfind(" "), chunk.rfind("\n"))
+                word, middle = "".join([*torn, chunk[:first]]), chunk[first : last + 1]
+                self.repaired += bool(torn and torn[-1] and first)
+                plan += [word, middle]
+                torn = [chunk[last + 1 :]]
+            plan.append("".join(torn))
+            plan = [x for x in plan if x]
+            for x in plan:
+                if x not in new:
+                    old = self.chunks.find(x)
+                    if old is None:
+                        words = new[x] = split(x)
+                        for w in words:
+                            if w not in known and (code := self.pieces.find(w)) is not None:
+                                known[w] = code
+                    else:
+                        new[x] = old
+                        self.reused += len(x)
+                else:
+                    self.reused += len(x)
+            plans.append(plan)
+        known.update(self.learn({w for words in new.values() if isinstance(words, list) for w in words if w not in known}))
+        for x, words in new.items():
+            if isinstance(words, list):
+                new[x] = code = joined([known[w] for w in words])
+                if len(x) <= CHUNK_SIZE:
+                    self.chunks.keep(x, code)
+        return [p if isinstance(p, tuple) else joined([new[x] for x in p]) for p in plans]
+
+    def encode(self, text: str) -> Coded:
+        return self.encode_all([text])[0]
 
 
 _coders: dict[str, ChunkCoder] = {}
@@ -174,10 +207,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 256 << 10):
             out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                n, ids, shown = code.encode(text.as_py() or "")
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc, (n, ids, shown) in zip(batch.column("doc_id").to_pylist(), code.encode_all(texts), strict=True):
                 row = (doc, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(shown.encode("utf-8", "surrogatepass")).hexdigest())
                 out.append((*row, [int(x) for x in ids.split()], shown) if with_ids else row)
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4]

@@ -69,12 +69,27 @@ def test_bpe_real_output(make_docs):
 
 
 def test_bpe_chunks_are_shared_and_repaired():
+    """Cuts fall inside words, where both ends are put together; a passage is cut alike wherever it stands."""
     coder = bpe_chunks.ChunkCoder(bpe_chunks.default_path())
-    passage = " ".join(f"word{i} other{i}" for i in range(2000))
+    passage = " ".join(f"word{i} other{i}" for i in range(4000))
     cut = lambda t: {t[a:b] for a, b in zip([0, *coder.cuts(t)], coder.cuts(t), strict=False)}
-    assert len(cut("first " + passage) & cut("quite another beginning " + passage)) > 10
-    coder.joins[(bpe_chunks.split(passage[: coder.cuts(passage)[0]])[-1], bpe_chunks.split(passage[coder.cuts(passage)[0] :])[0])] = False  # a join that disagrees
-    assert coder.encode(passage) == coder.whole(passage)
+    assert len(cut("first " + passage) & cut("quite another beginning " + passage)) > 100
+    inside = [k for k in coder.cuts(passage)[:-1] if passage[k - 1] != " " and passage[k] != " "]
+    assert len(inside) > 50 and coder.encode(passage) == coder.whole(passage) and coder.repaired >= len(inside)
+    before = coder.reused
+    assert coder.encode("quite another beginning " + passage) == coder.whole("quite another beginning " + passage)
+    assert coder.reused - before > 0.9 * len(passage)
+
+
+def test_bpe_random_strings_equal_library():
+    import random
+
+    rng = random.Random(4)
+    parts = ["word", "Über", "'s", "'re", "'", "12", "3", " ", "  ", "\n", "\t", "\u00a0", "é", "e\u0301", "\u0301", "Σ", "ΑΣ", "İ", "ß", "中文", "😀", "!!", "--", ".", "a" * 40, "x" * 300, "\u200b", "<|endof", "text|>", "ǆ", "½"]
+    coder = bpe_chunks.ChunkCoder(bpe_chunks.default_path())
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    for k in range(0, len(texts), 500):
+        assert coder.encode_all(texts[k : k + 500]) == [coder.whole(t) for t in texts[k : k + 500]]
 
 
 # --- HTML ----------------------------------------------------------------------------------------------------
