@@ -39,7 +39,8 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session sets none (tests, local mode) a temporary folder is made.
+    Only where the session sets none (tests, local mode) a temporary folder of this machine is made; a cluster
+    must set it.
     """
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not own:
@@ -48,17 +49,28 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "zstd", made: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here.
 
-    A lost executor costs at most the tasks that still read this table, never what came before.
+    A lost executor costs at most the tasks that still read this table, never what came before. The path is
+    added to made, so that a caller can drop() the table when nothing reads it any more.
     """
     small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, made: list[str]) -> None:
+    """Delete tables that staged() wrote."""
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    made.clear()
+
+
 def fold_of(doc_id: str | Column) -> Column:
     """crc32 of the id as text, modulo 4; labels of fold 2 are never learned from."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -89,6 +101,14 @@ def class_counts(labels: DataFrame, target: str) -> tuple[int, int]:
     return got.get(0, 0), got.get(1, 0)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, with underscores before it until no column of taken has it (whatever its case)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds about size bytes of column; memory then follows one piece."""
     for batch in batches:

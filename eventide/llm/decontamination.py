@@ -3,32 +3,40 @@
 The windows of the benchmark (WINDOW consecutive words of an item; a shorter item is one window) are joined with
 the documents. As a window counts only when all its words stand there, its necessary prefix is one word: the
 rarest by the counts of benchmark words over all documents. Where that word stands in a document, its place in
-the window says where the window would begin; beginnings outside the document fail the bounds, the rest compare
-the hash of the words there with the window's, and what agrees is verified byte by byte.
+a window says where the window would begin: one beginning for each of the few places and lengths that windows of
+that word have. Beginnings outside the document fail the bounds; the hash of the words at the rest is looked up
+among the windows, and what agrees is verified byte by byte.
 
-The benchmark is taken in blocks of BLOCK_BYTES of text, so what is broadcast is bounded whatever its size; with
-more than one block, the documents pass through the blocks one after the other without a shuffle.
+The benchmark is taken in blocks of BLOCK_BYTES of text, so what is broadcast is bounded whatever its size. With
+more than one block, the documents pass through GROUP blocks in one task, one index at a time for each, and are then
+written to the shared folder; words are counted once for each group.
 
 Null and empty texts, and texts without words, have no words, hits or items. Items without words have no windows.
 Items that share an id count once; items without an id count as one item whose id is the empty string. Repeated
-rows give repeated results.
+rows give repeated results. Very long texts are read whole; an empty table gives an empty one. Columns that are not
+read may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import pieces
+from eventide.llm.common import drop, free, pieces, staged
 from eventide.llm.textscan import _U, Words, mix, windows, words
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
+#: Blocks whose indexes may be alive in one task.
+GROUP = 4
+#: Beginnings that are tried at once.
+AT_ONCE = 1 << 20
 
 
 class Lookup:
@@ -51,13 +59,14 @@ class Lookup:
 
 @dataclass
 class Index:
-    """Windows by their rarest word."""
+    """Windows, sorted by the hash of their words, and the shapes that windows have around their rarest word."""
 
     lookup: Lookup
-    first: np.ndarray  #: anchor a has windows first[a] .. first[a + 1]
-    offset: np.ndarray  #: place of the anchor in each window
-    size: np.ndarray
-    value: np.ndarray  #: hash of each window's words
+    first: np.ndarray  #: anchor a has shapes first[a] .. first[a + 1]
+    offset: np.ndarray  #: place of the anchor in a window of each shape
+    size: np.ndarray  #: and the words of such a window
+    value: np.ndarray  #: hash of each window's words, sorted
+    length: np.ndarray  #: words of each window
     text: list[bytes]
     items: list[tuple[str, ...]]
 
@@ -88,36 +97,44 @@ def build_index(ids: list[str], texts: list[str | None], counts: dict[int, int],
             at = min(range(size), key=lambda k: (many[i + k], int(h[i + k]), k))
             found[text] = row = (int(h[i + at]), at, size, int(_value(h[i : i + size])[0]), set())
         row[4].add(ids[w.row[i]])
-    order = sorted(found, key=lambda t: (found[t][0], found[t][1], t))
-    anchor = np.array([found[t][0] for t in order], dtype=_U)
-    known, first = np.unique(anchor, return_index=True)
+    order = sorted(found, key=lambda t: (found[t][3], t))
+    shapes = sorted({(found[t][0], found[t][1], found[t][2]) for t in order})
+    known, first = np.unique(np.array([x[0] for x in shapes], dtype=_U), return_index=True)
     return Index(
-        Lookup(known), np.append(first, len(order)), np.array([found[t][1] for t in order], dtype=np.int64), np.array([found[t][2] for t in order], dtype=np.int64),
-        np.array([found[t][3] for t in order], dtype=_U), order, [tuple(sorted(found[t][4])) for t in order],
+        Lookup(known), np.append(first, len(shapes)), np.array([x[1] for x in shapes], dtype=np.int64), np.array([x[2] for x in shapes], dtype=np.int64),
+        np.array([found[t][3] for t in order], dtype=_U), np.array([found[t][2] for t in order], dtype=np.int64), order, [tuple(sorted(found[t][4])) for t in order],
     )
 
 
-def find_windows(w: Words, h: np.ndarray, index: Index, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and window of every verified occurrence."""
-    at, anchor = index.lookup.find(h)
-    n = index.first[anchor + 1] - index.first[anchor]
-    at = np.repeat(at, n)
-    which = np.repeat(index.first[anchor], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    begin, size = at - index.offset[which], index.size[which]
-    row = w.row[at] if len(at) else at
-    fits = (begin >= w.first[row]) & (begin + size <= w.first[row + 1])  # positional and length bounds
-    begin, which, size = begin[fits], which[fits], size[fits]
-    ok = np.zeros(len(begin), dtype=bool)
-    for k in np.unique(size).tolist():
-        some = np.flatnonzero(size == k)
-        value = np.zeros(len(some), dtype=_U)
-        for j in range(k):
-            value = value * _U(0xD1342543DE82EF95) + h[begin[some] + j]
-        ok[some] = mix(value) == index.value[which[some]]
-    begin, which = begin[ok], which[ok]
-    same = [index.text[x] == b" ".join([w.low[w.start[i] : w.end[i]].tobytes() for i in range(b, b + index.size[x])]) for b, x in zip(begin.tolist(), which.tolist(), strict=True)]
-    same = np.array(same, dtype=bool)
-    return begin[same], which[same]
+def find_windows(w: Words, h: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """First word and window of every verified occurrence; work and memory follow words times shapes."""
+    where, anchor = index.lookup.find(h)
+    most = int(np.diff(index.first).max()) if len(index.value) else 1
+    begins, windows_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(0, len(where), max(1, AT_ONCE // most)):
+        at, a = where[k : k + max(1, AT_ONCE // most)], anchor[k : k + max(1, AT_ONCE // most)]
+        n = index.first[a + 1] - index.first[a]
+        at = np.repeat(at, n)
+        shape = np.repeat(index.first[a], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        begin, size = at - index.offset[shape], index.size[shape]
+        row = w.row[at]
+        fits = (begin >= w.first[row]) & (begin + size <= w.first[row + 1])  # positional and length bounds
+        begin, size = begin[fits], size[fits]
+        for m in np.unique(size).tolist():
+            b = begin[size == m]
+            value = np.zeros(len(b), dtype=_U)
+            for j in range(m):
+                value = value * _U(0xD1342543DE82EF95) + h[b + j]
+            value = mix(value)
+            low, high = np.searchsorted(index.value, value), np.searchsorted(index.value, value, side="right")
+            some = np.flatnonzero(high > low)
+            b, low, n = b[some], low[some], (high - low)[some]
+            b, which = np.repeat(b, n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            same = [index.length[x] == m and index.text[x] == b" ".join([w.low[w.start[i] : w.end[i]].tobytes() for i in range(c, c + m)]) for c, x in zip(b.tolist(), which.tolist(), strict=True)]
+            same = np.array(same, dtype=bool)
+            begins.append(b[same])
+            windows_.append(which[same])
+    return np.concatenate(begins), np.concatenate(windows_)
 
 
 def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
@@ -145,44 +162,55 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[str],
         yield [r[0] for r in rows], [r[1] for r in rows]
 
 
-def mark_documents(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """columns of docs (text among them) with _words, _spans (merged, as pairs) and _items of all occurrences."""
-    out = docs.select(*columns, F.lit(0).cast("bigint").alias("_words"), F.array().cast("array<bigint>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
+def mark_documents(docs: DataFrame, benchmark: DataFrame, columns: list[str], names: tuple[str, str, str], window: int = WINDOW, block_bytes: int = BLOCK_BYTES, group: int = GROUP) -> DataFrame:
+    """columns of docs (text among them) with three more under names: words, spans (merged, as pairs) and items of all occurrences."""
+    many, spans_, items_ = names
+    spark, made = docs.sparkSession, []
+    out = docs.select(*columns, F.lit(0).cast("bigint").alias(many), F.array().cast("array<bigint>").alias(spans_), F.array().cast("array<string>").alias(items_))
     schema = out.schema
-    for ids, texts in _blocks(benchmark, block_bytes):
-        vocabulary = np.unique(words(pa.array(texts, pa.string())).hashes())
-        index = build_index(ids, texts, word_counts(docs.select(F.col("text").cast("string").alias("text")), vocabulary), window)
-        sent = docs.sparkSession.sparkContext.broadcast(index)  # windows of one block
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            for piece in pieces(batches, "text"):
-                w = words(piece.column("text"))
-                begin, which = find_windows(w, w.hashes(), index, window)
-                marks = np.zeros(len(w.start) + 1, dtype=np.int64)
-                np.add.at(marks, begin, 1)
-                np.add.at(marks, begin + index.size[which], -1)
-                for r, old in enumerate(piece.column("_spans").to_pylist()):
-                    for a, b in zip(old[::2], old[1::2], strict=True):
-                        marks[w.first[r] + a] += 1
-                        marks[w.first[r] + b] -= 1
-                hit = np.concatenate(([False], np.cumsum(marks[:-1]) > 0, [False]))
-                # spans of hit words, cut where rows meet
-                edge = np.zeros(len(w.start) + 1, dtype=bool)
-                edge[w.first] = True
-                starts = np.flatnonzero(hit[1:-1] & (~hit[:-2] | edge[:-1]))
-                ends = np.flatnonzero(hit[1:-1] & (~hit[2:] | edge[1:])) + 1
-                items = [set(x) for x in piece.column("_items").to_pylist()]
-                for r, x in zip(w.row[begin].tolist(), which.tolist(), strict=True):
-                    items[r].update(index.items[x])
-                row = w.row[starts] if len(starts) else starts
-                spans: list[list[int]] = [[] for _ in range(piece.num_rows)]
-                for r, a, b in zip(row.tolist(), starts.tolist(), ends.tolist(), strict=True):
-                    spans[r] += [a - int(w.first[r]), b - int(w.first[r])]
-                got = {"_words": pa.array(np.diff(w.first).astype(np.int64)), "_spans": pa.array(spans, pa.list_(pa.int64())), "_items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([got[n] if n in got else piece.column(n) for n in schema.names], schema.names)
-
-        out = out.mapInArrow(run, schema)
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    blocks, first = _blocks(benchmark, block_bytes), True
+    while some := list(islice(blocks, group)):
+        if not first:  # no more than one group's indexes in a task
+            old = list(made)
+            made.clear()
+            out = staged(out, "marked", made=made)
+            drop(spark, old)
+        first = False
+        counts = word_counts(texts, np.unique(np.concatenate([words(pa.array(t, pa.string())).hashes() for _, t in some])))
+        for ids, items in some:
+            index = build_index(ids, items, counts, window)
+            sent = spark.sparkContext.broadcast(index)  # windows of one block
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                index = sent.value
+                for piece in pieces(batches, "text"):
+                    w = words(piece.column("text"))
+                    begin, which = find_windows(w, w.hashes(), index)
+                    marks = np.zeros(len(w.start) + 1, dtype=np.int64)
+                    np.add.at(marks, begin, 1)
+                    np.add.at(marks, begin + index.length[which], -1)
+                    for r, old in enumerate(piece.column(spans_).to_pylist()):
+                        for a, b in zip(old[::2], old[1::2], strict=True):
+                            marks[w.first[r] + a] += 1
+                            marks[w.first[r] + b] -= 1
+                    hit = np.concatenate(([False], np.cumsum(marks[:-1]) > 0, [False]))
+                    # spans of hit words, cut where rows meet
+                    edge = np.zeros(len(w.start) + 1, dtype=bool)
+                    edge[w.first] = True
+                    starts = np.flatnonzero(hit[1:-1] & (~hit[:-2] | edge[:-1]))
+                    ends = np.flatnonzero(hit[1:-1] & (~hit[2:] | edge[1:])) + 1
+                    found = [set(x) for x in piece.column(items_).to_pylist()]
+                    for r, x in set(zip(w.row[begin].tolist(), which.tolist(), strict=True)):
+                        found[r].update(index.items[x])
+                    row = w.row[starts] if len(starts) else starts
+                    spans: list[list[int]] = [[] for _ in range(piece.num_rows)]
+                    for r, a, b in zip(row.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                        spans[r] += [a - int(w.first[r]), b - int(w.first[r])]
+                    got = {many: pa.array(np.diff(w.first).astype(np.int64)), spans_: pa.array(spans, pa.list_(pa.int64())), items_: pa.array([sorted(x) for x in found], pa.list_(pa.string()))}
+                    yield pa.RecordBatch.from_arrays([got[n] if n in got else piece.column(n) for n in schema.names], schema.names)
+
+            out = out.mapInArrow(run, schema)
     return out
 
 
@@ -190,19 +218,21 @@ def contaminated(n_words: F.Column, n_hit: F.Column) -> F.Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def _hits() -> F.Column:
-    signed = F.transform("_spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+def hits(spans: str) -> F.Column:
+    """Words in the spans."""
+    signed = F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
     return F.aggregate(signed, F.lit(0).cast("bigint"), lambda a, b: a + b)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, group: int = GROUP) -> DataFrame:
     small = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = mark_documents(small, benchmark, ["doc_id", "text"]).select("doc_id", F.col("_words").alias("n_words"), _hits().alias("n_hit"), "_items")
+    marked = mark_documents(small, benchmark, ["doc_id", "text"], ("n_words", "spans", "items"), block_bytes=block_bytes, group=group).select("doc_id", "n_words", hits("spans").alias("n_hit"), "items")
     return marked.select(
-        "doc_id", "n_words", "n_hit", F.size("_items").cast("bigint").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFrame:
-    return mark_documents(docs, benchmark, columns).where(~contaminated(F.col("_words"), _hits())).select(*columns)
+    names = tuple(free(n, columns) for n in ("n_words", "spans", "items"))
+    return mark_documents(docs, benchmark, columns, names).where(~contaminated(F.col(names[0]), hits(names[1]))).select(*columns)
