@@ -27,7 +27,8 @@ So no link between different texts is lost and no group of copies is expanded in
 components of verified links, found by alternating large and small stars.
 
 Null is an empty text; texts without words have no shingles and link to nothing but exact copies. Repeated rows
-are copies. Rows without an id take part; a class is named by the smallest id in it (null if there is none).
+are copies. Rows without an id take part; a class is named by the smallest id in it (null if there is none). Very
+long texts are compared whole. An empty table gives an empty one. Columns that are not read may have any name.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventide.llm.common import pieces, staged
+from eventide.llm.common import drop, free, pieces, staged
 from eventide.llm.textscan import _U, mix, windows, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -212,11 +213,12 @@ def _cross(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return _links(out)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """rid and cls (the smallest rid of its component) of every end of edges(a, b).
 
     Alternating stars: the large star links a node's larger neighbours to its smallest one, the small star its
-    smaller neighbours and itself. Both keep components, and stop when all that is left are stars.
+    smaller neighbours and itself. Both keep components; they go on until a round changes nothing, which is when all
+    that is left are stars (a number of rounds that grows with the square of the logarithm of the nodes).
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -228,13 +230,16 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         linked = linked.where(F.col("v") > F.col("u")).select("v", "m") if large else linked.select("v", "m").unionAll(low.select(F.col("u").alias("v"), "m"))
         return linked.where(F.col("v") != F.col("m")).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
-    e, before = staged(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"), None
-    for _ in range(rounds):
+    spark, made, before = edges.sparkSession, [], None
+    e = staged(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", made=made)
+    while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if before == now:
             break
-        before = now
-        e = staged(star(star(e, True), False), "edges")
+        before, old = now, list(made)
+        made.clear()
+        e = staged(star(star(e, True), False), "edges", made=made)
+        drop(spark, old)
     low = e.groupBy("b").agg(F.min("a").alias("a"))
     return low.select(F.col("b").alias("rid"), F.col("a").alias("cls")).unionAll(low.select("a").distinct().select(F.col("a").alias("rid"), F.col("a").alias("cls")))
 
@@ -316,7 +321,8 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, columns: list[str]) -> DataFrame:
     """One document of each class stays: the one with the smallest doc_id; of its repeated rows, one."""
-    kept = near_duplicates(docs).select(F.col("class_id").alias("_id"), F.col("class_key").alias("_key")).distinct()
-    keyed = docs.select(*columns, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias("_own"))
-    there = keyed.join(staged(kept, "kept"), (F.col("_own") == F.col("_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
-    return there.dropDuplicates(["_own", "doc_id"]).select(*columns)
+    own, key, name = (free(n, columns) for n in ("own_key", "class_key", "class_id"))
+    kept = near_duplicates(docs).select(F.col("class_id").alias(name), F.col("class_key").alias(key)).distinct()
+    keyed = docs.select(*columns, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias(own))
+    there = keyed.join(staged(kept, "kept"), (F.col(own) == F.col(key)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(name)), "left_semi")
+    return there.dropDuplicates([own, "doc_id"]).select(*columns)
