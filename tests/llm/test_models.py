@@ -193,6 +193,13 @@ def test_near_duplicates(copies, odd_docs, real):
         assert len(kept) == len(names)
 
 
+def test_near_duplicates_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "a", "b", "c", "d"), (2, text + " more", "a", "b", "c", "d"), (2, text + " more", "a", "b", "c", "d"), (3, "other", "a", "b", "c", "d")], "doc_id bigint, text string, own_key string, class_key string, _id string, class_id string")
+    kept = bagminhash.drop_near_duplicates(docs, docs.columns).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3] and kept[0].asDict().keys() == set(docs.columns)
+
+
 def test_near_duplicates_empty(make_docs):
     assert bagminhash.find_near_duplicates(make_docs([])).count() == 0
     assert bagminhash.drop_near_duplicates(make_docs([]), ["doc_id", "text"]).count() == 0
@@ -246,6 +253,24 @@ def test_base_spans_random():
         assert pii_labelers.base_spans(t) == brute_spans(t), t
 
 
+def test_base_spans_of_long_digits_take_linear_time():
+    import time
+
+    for text in ("1" * 300_000, "1." * 200_000, "0" * 5000 + ".1.1.1", "1 " * 200_000, "+1 " * 100_000, "+" + "1" * 200_000, "a@" * 200_000, "1-" * 200_000 + "x", "a." * 100_000 + "@b.c"):
+        begin = time.perf_counter()
+        spans = pii_labelers.base_spans(text)
+        assert time.perf_counter() - begin < 6, text[:10]
+        assert pii_labelers.candidates(text[:20_000], []) is not None
+    assert ("ip", 0, 5006) in pii_labelers.base_spans("0" * 5000 + ".1.1.1")
+
+
+def test_redaction_keeps_the_type_of_n_chars(spark):
+    for kind in ("int", "bigint", "string", "smallint"):
+        docs = spark.createDataFrame([(1, "mail a@b.org now", "9")], "doc_id bigint, text string, n_chars string").selectExpr("doc_id", "text", f"cast(n_chars as {kind}) n_chars")
+        out = pii_labelers.redact(docs, docs.columns)
+        assert out.schema == docs.schema and str(out.first()["n_chars"]) == "16"
+
+
 def test_personal_data(real, odd_docs, make_docs):
     extra = make_docs(["call +1 (269) 555-3296 4524132264652876 now", 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"', "IBAN DE89 3704 0044 0532 0130 00 here", "no data at all"], range(700, 704))
     docs = real("documents").select("doc_id", "text").unionAll(odd_docs.select("doc_id", "text")).unionAll(extra.select("doc_id", "text"))
