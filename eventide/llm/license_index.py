@@ -1,133 +1,121 @@
 """License scan with a positional rare-token index, in DataFrame functions only.
 
-One pass over all texts takes their words and notes which words of the licence templates each holds. The share
-of documents with each such word, over all documents, gives its IDF. A template is looked up by its highest-IDF
-words: where one stands at position p and has offset o in the template, the template would begin at p - o; the
-beginnings that two of the words propose are intersected, and a mandatory key phrase must stand word by word at
-its place. The score of a match is the share of the template's IDF mass that stands at the right places.
+The index holds, for each word of each licence text, the postings (text, offset). One pass over all documents
+takes their words and notes which words of the index each holds; the share of documents with each such word, over
+all documents, gives its IDF. Each document then looks up, for every licence text whose key phrase it could hold,
+its own highest-IDF words among those of that text. Where such a word stands at position p and has a posting
+(t, o), text t would begin at p - o: proposals are counted by document, text and beginning, so postings that agree
+on the relative position meet, and two rare words must agree. What is left is verified: the mandatory key phrase
+must stand word by word at its place, and the share of the text's IDF mass that stands at the right places is the
+score of the match.
 
 Only documents that hold every word of some key phrase keep their words for the second step, which loses nothing.
-Base places (three fixed phrases, anywhere) are found the same way with the phrase as its own template.
+Base places (three fixed phrases, anywhere) are found the same way, with the phrase as its own text and key.
 
-Null and empty texts: no words, no labels, score 0. Repeated rows give repeated results. Words are compared
-after A-Z are lowered; lower() also lowers other letters, which none of the phrases holds.
+Null and empty texts: no words, no labels, score 0. Very long texts are scanned whole. Repeated rows give repeated
+results, an empty table an empty one; of several matches of a label the best counts; extra columns are not read.
+Words are compared after A-Z are lowered, nothing else.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import re
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.common import staged
+from eventide.llm.license_texts import LICENSES
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrase -> label; each place where one stands counts.
-BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Label, template, key phrase that must stand within it.
-TEMPLATES = (
-    ("mit", "licensed under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
-    ("cc0", "to the extent possible under law the author has waived all copyright under cc0 1 0 universal", "cc0 1 0"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("lgpl", "licensed under the gnu lesser general public license version", "gnu lesser general public license"),
-    ("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
-    ("proprietary", "copyright all rights reserved", "all rights reserved"),
-)  # fixed values
-RARE_WORDS = 2
+BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))  # fixed values
+#: A document's rarest words of a licence text that are looked up, and how many must agree on a beginning.
+RARE_WORDS, AGREE = 6, 2
 MIN_SCORE = 0.6
 
 
-def _lookup(words: list[str], idf: dict[str, float]) -> list[tuple[str, int]]:
-    """The rarest words of a template and where each stands in it; of words that repeat, the first."""
-    return sorted(((w, words.index(w)) for w in dict.fromkeys(words)), key=lambda x: (-idf.get(x[0], 0.0), x[1]))[:RARE_WORDS]
+def words_of(text: str) -> list[str]:
+    return re.findall(WORDS, text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
 
 
-def _starts(column: str, words: list[str], idf: dict[str, float]) -> Column:
-    """Beginnings that all of the rarest words propose, by position in the text.
-
-    A rare word that repeats within the template is looked up at its first offset, where it must stand as well.
-    """
-    def begin(word: str, offset: int) -> Column:
-        at = F.filter(F.transform(F.col(column), lambda w, i: F.when(w == word, i - offset).otherwise(F.lit(None))), lambda p: p.isNotNull())
-        return F.coalesce(at, F.array().cast("array<int>"))
-
-    first, *rest = [begin(w, o) for w, o in _lookup(words, idf)]
-    for other in rest:
-        first = F.array_intersect(first, other)
-    return first
-
-
-def _stands(column: str, words: list[str], shift: int = 0) -> Callable[[Column], Column]:
-    """Whether all words stand one after the other from a beginning plus shift."""
-    def test(p: Column) -> Column:
-        ok = p + shift >= 0
-        for k, w in enumerate(words):
-            ok = ok & F.coalesce(F.get(F.col(column), p + shift + k) == w, F.lit(False))
-        return ok
-
-    return test
-
-
-def _share(column: str, words: list[str], key_at: int, idf: dict[str, float]) -> Callable[[Column], Column]:
-    """Share of a template's IDF mass that stands in place, of a key phrase's beginning."""
-    mass = sum(idf[w] for w in words)
+def find(words: list[str], part: list[str]) -> int:
+    """Where part stands in words first."""
+    return next(k for k in range(len(words)) if words[k : k + len(part)] == part)
 
-    def share(p: Column) -> Column:
-        return sum((F.when(F.get(F.col(column), p - key_at + o) == w, idf[w] / mass).otherwise(0.0) for o, w in enumerate(words)), F.lit(0.0))
 
-    return share
+def _array(words: list[str]) -> Column:
+    return F.split(F.lit(" ".join(words)), " ")
 
 
-def _find(words: list[str], part: list[str]) -> int:
-    return next(k for k in range(len(words)) if words[k : k + len(part)] == part)
+def _all_in(column: str, words: list[str]) -> Column:
+    """Whether an array holds all words; long words, which are rare, are tried first."""
+    ok = F.lit(True)
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        ok = ok & F.array_contains(column, w)
+    return ok
 
 
-def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, min_score: float = MIN_SCORE) -> DataFrame:
+def scan_licenses(docs: DataFrame, licenses: tuple = LICENSES, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per row of docs(doc_id, text); see the module's docstring."""
-    plans = [(label, text.split(), key.split()) for label, text, key in templates]
-    phrases = [(text.split(), label) for text, label in BASE]
-    vocabulary = sorted({w for _, t, _ in plans for w in t} | {w for p, _ in phrases for w in p})
-    needs = sorted({tuple(sorted(set(k))) for _, _, k in plans} | {tuple(sorted(set(p))) for p, _ in phrases})
-
-    seen = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(WORDS), F.lit(0)).alias("words"))
-        .withColumn("found", F.array_intersect("words", F.array(*map(F.lit, vocabulary))))
-    )
+    spark = docs.sparkSession
+    texts = [(label, words_of(text), words_of(key), False) for label, text, key in licenses] + [(label, p.split(), p.split(), True) for p, label in BASE]
+    vocabulary = sorted({w for _, t, _, _ in texts for w in t})
+    needs = sorted({tuple(sorted(set(key))) for _, _, key, _ in texts})
+
+    lowered = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    seen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_extract_all(lowered, F.lit(WORDS), F.lit(0)).alias("words")).withColumn("found", F.array_intersect("words", _array(vocabulary)))
     wanted = F.lit(False)
     for need in needs:
-        wanted = wanted | (F.size(F.array_intersect("found", F.array(*map(F.lit, need)))) == len(need))
-    seen = staged(seen.select("doc_id", F.size("words").cast("bigint").alias("n_words"), "found", F.when(wanted, F.col("words")).alias("w")), "license_words")
+        wanted = wanted | _all_in("found", list(need))
+    seen = staged(seen.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").cast("bigint").alias("n_words"), "found", F.when(wanted, F.col("words")).alias("w")), "license_words")
 
+    # IDF over all documents; as many rows as the vocabulary
     total = seen.count()
     df = {r["word"]: r["n"] for r in seen.select(F.explode("found").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
-
-    out = seen
-    for k, (phrase, _) in enumerate(phrases):
-        out = out.withColumn(f"at{k}", F.filter(_starts("w", phrase, idf), _stands("w", phrase)))
-    marks = []
-    for label, words, key in plans:
-        begins = F.filter(_starts("w", key, idf), _stands("w", key))
-        marks.append((label, F.coalesce(F.array_max(F.transform(begins, _share("w", words, _find(words, key), idf))), F.lit(0.0))))
-    out = out.withColumn("scores", F.array(*[s for _, s in marks]))
-    places = F.concat(*[F.coalesce(F.col(f"at{k}"), F.array().cast("array<int>")) for k in range(len(phrases))])
-    base = F.array_compact(F.array(*[F.when(F.size(f"at{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)]))
-    own = F.array_compact(F.array(*[F.when(F.get("scores", F.lit(k)) >= min_score, F.lit(label)) for k, (label, _) in enumerate(marks)]))
-    return out.withColumn("places", places).select(
-        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"),
-        F.array_min("places").cast("bigint").alias("first_word"), F.array_max("places").cast("bigint").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"),
-        F.least(F.lit(1.0), F.greatest(F.array_max("scores"), F.when(F.size("places") > 0, F.lit(min_score)).otherwise(0.0))).alias("score"),
+    by_idf = lambda words: sorted(set(words), key=lambda w: (-idf[w], w))
+    postings = spark.createDataFrame([(w, [(t, o) for t, (_, words, _, _) in enumerate(texts) for o, x in enumerate(words) if x == w]) for w in vocabulary], "word string, postings array<struct<t:int,o:int>>")
+
+    # what each document looks up: of every text that it could hold, its rarest words
+    held = seen.where(F.col("w").isNotNull())
+    rare = [F.when(_all_in("found", key), F.slice(F.array_intersect(_array(by_idf(words)), "found"), 1, RARE_WORDS)) for _, words, key, _ in texts]
+    looked = held.withColumn("rare", F.array_distinct(F.flatten(F.array_compact(F.array(*rare)))))
+    places = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("p"))), lambda x: F.array_contains("rare", x["word"]))
+    proposed = looked.select("rid", F.explode(places).alias("x")).select("rid", F.col("x.word").alias("word"), F.col("x.p").alias("p"))
+    proposed = proposed.join(F.broadcast(postings), "word").select("rid", "p", F.explode("postings").alias("x")).select("rid", F.col("x.t").alias("t"), (F.col("p") - F.col("x.o")).alias("begin"))
+    agreed = proposed.groupBy("rid", "t", "begin").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE).groupBy("rid").agg(F.collect_list(F.struct("t", "begin")).alias("proposals"))
+
+    # verification against the document's words
+    at = lambda values, t: F.get(F.array(*values), t)
+    mass = [sum(idf[w] for w in words) for _, words, _, _ in texts]
+    keys, key_at = [_array(key) for _, _, key, _ in texts], [F.lit(find(words, key)) for _, words, key, _ in texts]
+    whole, weights = [_array(words) for _, words, _, _ in texts], [_array([repr(idf[w] / m) for w in words]).cast("array<double>") for (_, words, _, _), m in zip(texts, mass, strict=True)]
+    labels, is_base = [F.lit(label) for label, _, _, _ in texts], [F.lit(b) for _, _, _, b in texts]
+
+    def stands(x: Column) -> Column:
+        key, begin = at(keys, x["t"]), x["begin"] + at(key_at, x["t"])
+        return F.when(begin >= 0, F.slice("w", F.greatest(begin, F.lit(0)) + 1, F.size(key)) == key).otherwise(F.lit(False))
+
+    def share(x: Column) -> Column:
+        in_place = F.transform(at(whole, x["t"]), lambda word, o: F.when(F.get("w", x["begin"] + o) == word, F.get(at(weights, x["t"]), o)).otherwise(0.0))
+        return F.aggregate(in_place, F.lit(0.0), lambda a, b: a + b)
+
+    none = F.array().cast("array<struct<t:int,begin:int>>")
+    checked = held.join(agreed, "rid", "left").withColumn("good", F.filter(F.coalesce("proposals", none), stands))
+    checked = checked.withColumn("own", F.transform(F.filter("good", lambda x: ~at(is_base, x["t"])), lambda x: F.struct(at(labels, x["t"]).alias("label"), share(x).alias("score"))))
+    checked = (
+        checked.withColumn("base", F.filter("good", lambda x: at(is_base, x["t"]))).withColumn("places", F.transform("base", lambda x: x["begin"]))
+        .withColumn("base_labels", F.transform("base", lambda x: at(labels, x["t"]))).withColumn("own_labels", F.transform(F.filter("own", lambda x: x["score"] >= min_score), lambda x: x["label"]))
+        .withColumn("best", F.coalesce(F.array_max(F.transform("own", lambda x: x["score"])), F.lit(0.0)))
+    )
+    listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    found = checked.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min("places").cast("bigint").alias("first_word"), F.array_max("places").cast("bigint").alias("last_word"),
+        listed("base_labels").alias("base_labels"), listed(F.concat("base_labels", "own_labels")).alias("labels"),
+        F.least(F.lit(1.0), F.greatest("best", F.when(F.size("places") > 0, F.lit(min_score)).otherwise(0.0))).alias("score"),
     )
+    rest = seen.where(F.col("w").isNull()).select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_base"), F.lit(None).cast("bigint").alias("first_word"), F.lit(None).cast("bigint").alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"))
+    return found.unionByName(rest)

@@ -55,6 +55,51 @@ def test_license_own_labels(make_docs):
     assert rows[7]["base_labels"] == "cc-by-nc"
 
 
+def brute_labels(words, idf, min_score=li.MIN_SCORE):
+    """Labels and best score by trying every licence text at every place of the document."""
+    labels, best = set(), 0.0
+    for label, text, key in li.LICENSES:
+        t, k = words_of(text), words_of(key)
+        at = li.find(t, k)
+        for p in range(len(words) - len(k) + 1):
+            if words[p : p + len(k)] == k:
+                score = sum(idf[w] for o, w in enumerate(t) if 0 <= p - at + o < len(words) and words[p - at + o] == w) / sum(idf[w] for w in t)
+                best = max(best, score)
+                if score >= min_score:
+                    labels.add(label)
+    return labels, best
+
+
+def test_license_own_labels_equal_brute_force(make_docs, real):
+    """Whole texts, texts cut short or edited, several in one document, all words scattered."""
+    import math
+    import random
+
+    rng = random.Random(6)
+    texts = [f"some words before\n{text}\nand after" for _, text, _ in li.LICENSES]
+    for _, text, _ in li.LICENSES:
+        w = text.split()
+        texts += [" ".join(w[: max(3, len(w) * 3 // 4)]), " ".join(x for x in w if rng.random() > 0.02), " ".join(rng.sample(w, len(w)))]
+    texts += ["\n\n".join(t for _, t, _ in rng.sample(li.LICENSES, 4)) for _ in range(10)] + LICENSED
+    docs = make_docs(texts).select("doc_id", "text").unionAll(real("documents").selectExpr("doc_id + 10000", "text"))
+    pairs = [(r["doc_id"], words_of(r["text"])) for r in docs.collect()]
+    vocabulary = {w for _, t, _ in li.LICENSES for w in words_of(t)}
+    count = Counter(w for _, words in pairs for w in set(words) & vocabulary)
+    idf = {w: math.log((len(pairs) + 1) / (count[w] + 1)) + 1e-3 for w in vocabulary}
+    rows = {r["doc_id"]: r for r in li.scan_licenses(docs).collect()}
+    for doc, words in pairs:
+        labels, best = brute_labels(words, idf)
+        base = places(words)[1]
+        got = set(filter(None, rows[doc]["labels"].split(",")))
+        assert got == labels | base, (doc, got, labels)
+        assert rows[doc]["score"] == pytest.approx(min(1.0, max(best, li.MIN_SCORE if base else 0.0))) or best < li.MIN_SCORE
+    assert {"mit", "bsd", "isc", "zlib", "unlicense", "gpl-3", "apache-2"} <= {x for r in rows.values() for x in r["labels"].split(",")}
+
+
+def test_license_case_of_other_letters_stays(make_docs):
+    assert li.scan_licenses(make_docs(["under the M\u0130T license", "under the mit l\u0130cense", "UNDER THE MIT LICENSE"])).selectExpr("sum(n_base)").first()[0] == 1
+
+
 def test_license_empty_table(make_docs):
     assert li.scan_licenses(make_docs([])).count() == 0
 
