@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventide.functions import scalar as S
+from eventide.operators.motifs import stretches
 
 
 def zero_candidates(actions: DataFrame) -> DataFrame:
@@ -66,8 +67,8 @@ def decode_logs(logs: DataFrame) -> DataFrame:
 
 def channels(rows: DataFrame, time: str, value: str) -> DataFrame:
     """rows with systemic (the mean of the value over all rows of a tick) and relative (the rest)."""
-    mean = F.avg(value).over(W.partitionBy(time))
-    return rows.withColumn("systemic", mean).withColumn("relative", F.col(value) - mean)
+    mean = rows.groupBy(time).agg(F.avg(value).alias("systemic"))
+    return rows.join(mean, time).withColumn("relative", F.col(value) - F.col("systemic"))
 
 
 def block_sums(rows: DataFrame, time: str, value: str, horizon: int) -> DataFrame:
@@ -79,14 +80,15 @@ def block_sums(rows: DataFrame, time: str, value: str, horizon: int) -> DataFram
 def triple_frontier(events: DataFrame, horizon: int) -> DataFrame:
     """pa < pb < pc: triples of predicates on distinct primitives that all lie within the horizon, and how many.
 
-    The first pair bounds what the third meets; each step is an equality on the entity with a bounded range.
+    The first pair bounds what the third meets; each step is an equality on the entity and the stretch of time around
+    the first event.
     """
-    a = events.select("e", F.col("t").alias("ta"), F.col("p").alias("pa"), F.col("id").alias("ia"))
-    b = events.select("e", F.col("t").alias("tb"), F.col("p").alias("pb"), F.col("id").alias("ib"))
-    c = events.select("e", F.col("t").alias("tc"), F.col("p").alias("pc"), F.col("id").alias("ic"))
+    a = stretches(events.select("e", F.col("t").alias("ta"), F.col("p").alias("pa"), F.col("id").alias("ia")), "ta", horizon)
+    b = stretches(events.select("e", F.col("t").alias("tb"), F.col("p").alias("pb"), F.col("id").alias("ib")), "tb", horizon, 1, 1)
+    c = stretches(events.select("e", F.col("t").alias("tc"), F.col("p").alias("pc"), F.col("id").alias("ic")), "tc", horizon, 1, 1)
     near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= horizon
-    two = a.join(b, "e").where((F.col("pa") < F.col("pb")) & near("ta", "tb") & (F.col("ia") != F.col("ib")))
-    three = two.join(c, "e").where((F.col("pb") < F.col("pc")) & near("ta", "tc") & near("tb", "tc") & (F.col("ia") != F.col("ic")) & (F.col("ib") != F.col("ic")))
+    two = a.join(b, ["e", "stretch"]).where((F.col("pa") < F.col("pb")) & near("ta", "tb") & (F.col("ia") != F.col("ib")))
+    three = two.join(c, ["e", "stretch"]).where((F.col("pb") < F.col("pc")) & near("ta", "tc") & near("tb", "tc") & (F.col("ia") != F.col("ic")) & (F.col("ib") != F.col("ic")))
     return three.groupBy("pa", "pb", "pc").agg(F.count("*").alias("n"))
 
 

@@ -82,14 +82,21 @@ def completions(events: DataFrame, pattern: Sequence[int], relation: str) -> Dat
     return ordered(events, pattern) if relation == "ordered" and len(pattern) > 1 else unordered(events, pattern)
 
 
+def stretches(rows: DataFrame, time: str, width: int, before: int = 0, after: int = 0) -> DataFrame:
+    """rows with stretch, the number of the stretch of time that they are in, and copies for those before and after it."""
+    own = F.floor(F.col(time) / max(1, width))
+    return rows.withColumn("stretch", F.explode(F.sequence(own - before, own + after)) if before or after else own)
+
+
 def frontier(events: DataFrame, horizon: int) -> DataFrame:
     """Which unordered pairs of predicates occur within the horizon on distinct primitives, and how often.
 
-    A range join on equal entities; the horizon bounds what each row meets.
+    An equality on entity and stretch of time (as long as the horizon, and the two next to it), so that a long history
+    is cut into many keys and no row meets more than three stretches.
     """
-    a = events.select("e", F.col("t").alias("ta"), F.col("p").alias("pa"), F.col("id").alias("ia"))
-    b = events.select(F.col("e").alias("eb"), F.col("t").alias("tb"), F.col("p").alias("pb"), F.col("id").alias("ib"))
-    met = a.join(b, (F.col("e") == F.col("eb")) & (F.col("pa") < F.col("pb")) & (F.abs(F.col("ta") - F.col("tb")) <= horizon) & (F.col("ia") != F.col("ib")))
+    a = stretches(events.select("e", F.col("t").alias("ta"), F.col("p").alias("pa"), F.col("id").alias("ia")), "ta", horizon)
+    b = stretches(events.select("e", F.col("t").alias("tb"), F.col("p").alias("pb"), F.col("id").alias("ib")), "tb", horizon, 1, 1)
+    met = a.join(b, ["e", "stretch"]).where((F.col("pa") < F.col("pb")) & (F.abs(F.col("ta") - F.col("tb")) <= horizon) & (F.col("ia") != F.col("ib")))
     return met.groupBy("pa", "pb").agg(F.count("*").alias("n"), F.min(F.abs(F.col("ta") - F.col("tb"))).alias("least_span"))
 
 

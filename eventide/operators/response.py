@@ -142,19 +142,32 @@ def forward_labels(points: DataFrame, targets: DataFrame, horizon: int) -> DataF
 
 
 def hawkes_states(events: DataFrame, targets: DataFrame, half_life: float) -> DataFrame:
-    """e, t, p, s: decayed mass of each predicate's earlier events at every target, by a running fold.
+    """e, t, p, s: decayed mass of each predicate's earlier events at every target.
 
-    exp(-b (t - u)) = exp(-b t) exp(b u) overflows over long histories, so the join is bounded by a reach beyond
-    which a term is below 1e-9.
+    exp(-b (t - u)) = exp(-b t) exp(b u) overflows over long histories, and a term is below 1e-9 beyond a reach. Time is
+    cut into stretches of that reach: events of a stretch are summed with their decay to its end, the running sums per
+    tick inside it answer every target there, and the next stretch is answered by the whole less what is out of reach.
+    No target meets single events.
     """
     import math
 
     rate = math.log(2) / half_life
     reach = int(math.ceil(math.log(1e9) / rate))
-    a = targets.select("e", "t").distinct()
-    b = events.select(F.col("e").alias("eb"), F.col("t").alias("u"), "p")
-    met = a.join(b, (F.col("e") == F.col("eb")) & (F.col("u") < F.col("t")) & (F.col("u") >= F.col("t") - reach))
-    return met.groupBy("e", "t", "p").agg(F.sum(F.exp(-rate * (F.col("t") - F.col("u")))).alias("s"))
+    begin = F.col("stretch") * reach  # weights are relative to the beginning of a stretch, at most 1e9 inside it
+    mass = events.groupBy("e", "p", F.col("t").alias("u")).agg(F.count("*").alias("n")).withColumn("stretch", F.floor(F.col("u") / reach))
+    mass = mass.select("e", "p", "stretch", "u", (F.col("n") * F.exp(rate * (F.col("u") - begin))).alias("w"))
+    # every target asks its own stretch for what came before it, and the one before for what is still in reach
+    a = targets.select("e", "t").distinct().withColumn("_own", F.floor(F.col("t") / reach)).withColumn("stretch", F.explode(F.array(F.col("_own"), F.col("_own") - 1)))
+    asked = a.join(mass.select("e", "p", "stretch").distinct(), ["e", "stretch"])
+    at = F.when(F.col("stretch") == F.col("_own"), F.col("t") - 1).otherwise(F.col("t") - reach - 1)  # own: up to here; before: beyond here
+    both = mass.select("e", "p", "stretch", "u", "w", F.lit(None).cast("bigint").alias("t"), F.lit(0).alias("own")).unionByName(
+        asked.select("e", "p", "stretch", at.alias("u"), F.lit(None).cast("double").alias("w"), "t", (F.col("stretch") == F.col("_own")).cast("int").alias("own"))
+    )
+    keyed = W.partitionBy("e", "p", "stretch").orderBy("u")
+    upto = F.sum("w").over(keyed.rangeBetween(W.unboundedPreceding, 0))
+    beyond = F.sum("w").over(keyed.rangeBetween(1, W.unboundedFollowing))
+    parts = both.withColumn("x", F.when(F.col("own") == 1, upto).otherwise(beyond)).where("t is not null and x is not null")
+    return parts.groupBy("e", "t", "p").agg(F.sum(F.col("x") * F.exp(-rate * (F.col("t") - begin))).alias("s"))
 
 
 def hawkes_mass(events: DataFrame, entities: DataFrame, half_life: float) -> DataFrame:

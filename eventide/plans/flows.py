@@ -157,16 +157,6 @@ def debt_episodes(spark, d) -> DataFrame:
     return folds.debt_episodes(_actions(spark, d))
 
 
-@query("""WITH a AS (SELECT o_custkey AS owner, list_extract(['borrow', 'repay', 'supply', 'withdraw', 'collateral_enable', 'liquidation'], o_orderkey % 6 + 1) AS kind, o_orderkey % 3 AS reserve, o_custkey + o_orderkey % 2 AS actor, strftime(o_orderdate, '%Y-%m') AS tx FROM orders),
- g AS (SELECT owner, tx, bool_or(kind = 'borrow') AS b, bool_or(kind = 'repay') AS r, count(DISTINCT reserve) FILTER (kind IN ('supply', 'collateral_enable')) AS adds, count(DISTINCT reserve) FILTER (kind = 'withdraw') AS takes,
-  count(DISTINCT reserve) FILTER (kind IN ('supply', 'collateral_enable', 'withdraw')) AS anyr, bool_or(actor <> owner AND kind IN ('repay', 'supply', 'collateral_enable')) AS helped FROM a GROUP BY ALL),
- c AS (SELECT *, list_filter([CASE WHEN b AND r THEN 'restructuring' END, CASE WHEN adds > 0 AND takes > 0 AND anyr > 1 THEN 'rotation' END, CASE WHEN b AND adds > 0 THEN 'expansion' END, CASE WHEN r AND adds > 0 THEN CASE WHEN helped THEN 'assisted_deleveraging' ELSE 'deleveraging' END END], lambda x: x IS NOT NULL) AS c FROM g),
- s AS (SELECT owner, tx, list_distinct(list(kind)) AS s FROM a WHERE NOT (kind = 'supply' AND EXISTS (SELECT 1 FROM a x WHERE x.owner = a.owner AND x.tx = a.tx AND x.reserve = a.reserve AND x.kind = 'collateral_enable')) GROUP BY ALL)
- SELECT owner, tx, CASE WHEN len(c) = 1 THEN c[1] WHEN len(c) = 0 AND len(s) = 1 THEN s[1] END AS mechanism FROM c LEFT JOIN s USING (owner, tx)""")
-def transaction_mechanisms(spark, d) -> DataFrame:
-    return folds.transaction_class(_actions(spark, d))
-
-
 @query("""WITH u AS (SELECT user_id AS k, epoch_us(ts) AS t, event_id AS id, value AS v FROM events), s AS (SELECT k, t, arg_max(v, id) AS v FROM u WHERE v IS NOT NULL GROUP BY k, t), c AS (SELECT k, t, v - lag(v) OVER (PARTITION BY k ORDER BY t) AS d FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) AS i FROM c WHERE d <> 0)
  SELECT k, t, CAST(sign(d) AS INTEGER) AS sign FROM (SELECT n.*, (SELECT count(*) FROM n b WHERE b.k = n.k AND b.i < n.i AND abs(b.d) >= abs(n.d)) AS larger FROM n) WHERE 1 + larger <= 0.1 * i""")
 def prequential_fold(spark, d) -> DataFrame:

@@ -572,17 +572,9 @@ def continuous_risk_intervals(spark, d):
 
 # --- joins, metrics ------------------------------------------------------------------------------------------------
 
-@query("""WITH i AS (SELECT o_orderkey AS e, o_custkey % 50 AS g, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS s FROM orders), x AS (SELECT l_suppkey % 50 AS g, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS t, CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END AS code, l_orderkey AS id FROM lineitem WHERE l_quantity >= 49)
- SELECT i.e, x.t, x.code, min(x.id) AS id FROM i JOIN x ON i.g = x.g AND x.t > i.s AND x.t < i.s + 5 GROUP BY ALL""")
-def interval_exposure_join(spark, d):
-    i, x = _exposed(spark, d)
-    return R.interval_exposure(i, x.where("quantity >= 49"), ["g"])
-
-
 @query("""WITH i AS (SELECT o_orderkey AS e, o_custkey % 50 AS g, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS s FROM orders), x AS (SELECT l_suppkey % 50 AS g, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS t, CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END AS code, l_orderkey AS id FROM lineitem)
  SELECT i.e, x.t, x.code, min(x.id) AS id FROM i JOIN x ON i.g = x.g AND x.t > i.s AND x.t < i.s + 5 GROUP BY ALL""")
-def interval_exposure_join_whole(spark, d):
-    """interval_exposure_join over every line."""
+def interval_exposure_join(spark, d):
     i, x = _exposed(spark, d)
     return R.interval_exposure(i, x, ["g"], 5)
 
@@ -590,7 +582,7 @@ def interval_exposure_join_whole(spark, d):
 def _exposed(spark, d):
     day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint")
     i = C.table(spark, d, "orders").select(F.col("o_orderkey").alias("e"), (F.col("o_custkey") % 50).alias("g"), day("o_orderdate").alias("start")).withColumn("end", F.col("start") + 5)
-    return i, C.table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("g"), day("l_shipdate").alias("t"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("code"), F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("quantity"))
+    return i, C.table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("g"), day("l_shipdate").alias("t"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("code"), F.col("l_orderkey").alias("id"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderdate = min(o_orderdate) OVER (PARTITION BY o_custkey) AS is_first FROM orders")
@@ -629,17 +621,9 @@ def seed_summary(spark, d):
     return R.seed_summary(C.table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_discount"), ["l_returnflag", "l_linestatus"], "l_discount").withColumn("mean", F.round("mean", 6)).withColumn("deviation", F.round("deviation", 6))
 
 
-@query("""WITH s AS (SELECT DISTINCT l_returnflag || l_linestatus AS run, l_suppkey AS i FROM lineitem WHERE l_quantity > 48), n AS (SELECT run, count(*) AS n FROM s GROUP BY run), x AS (SELECT a.run AS ra, b.run AS rb, count(*) AS m FROM s a JOIN s b ON a.i = b.i AND a.run < b.run GROUP BY ALL)
- SELECT round(avg(coalesce(m, 0) / (a.n + b.n - coalesce(m, 0))), 6) AS jaccard FROM n a JOIN n b ON a.run < b.run LEFT JOIN x ON ra = a.run AND rb = b.run""")
-def run_stability(spark, d):
-    r = C.table(spark, d, "lineitem").where("l_quantity > 48").select(F.concat("l_returnflag", "l_linestatus").alias("run"), F.col("l_suppkey").alias("identity")).distinct()
-    return R.run_stability(r).select(F.round("jaccard", 6).alias("jaccard"))
-
-
 @query("""WITH s AS (SELECT DISTINCT l_returnflag || l_linestatus AS run, l_suppkey AS i FROM lineitem), n AS (SELECT run, count(*) AS n FROM s GROUP BY run), x AS (SELECT a.run AS ra, b.run AS rb, count(*) AS m FROM s a JOIN s b ON a.i = b.i AND a.run < b.run GROUP BY ALL)
  SELECT round(avg(coalesce(m, 0) / (a.n + b.n - coalesce(m, 0))), 6) AS jaccard FROM n a JOIN n b ON a.run < b.run LEFT JOIN x ON ra = a.run AND rb = b.run""")
-def run_stability_whole(spark, d):
-    """run_stability over every line."""
+def run_stability(spark, d):
     r = C.table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("run"), F.col("l_suppkey").alias("identity")).distinct()
     return R.run_stability(r).select(F.round("jaccard", 6).alias("jaccard"))
 

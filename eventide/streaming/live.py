@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -43,12 +44,15 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> Data
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def shocks(values: DataFrame, level: float, keep: int = 100_000) -> DataFrame:
-    """k, t, sign of prequential shocks of a stream (k, t, v): a sorted past per key, the newest `keep` changes."""
+def shocks(values: DataFrame, level: float) -> DataFrame:
+    """k, t, sign of prequential shocks of a stream (k, t, v), ranked against a key's whole past.
+
+    The state holds how often each size of a change occurred, so it grows with distinct sizes only.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, past = json.loads(state.get[0]) if state.exists else (None, [])
-        ordered = sorted(past)
+        ordered = [size for size, n in past for _ in range(n)]
         out = []
         rows = pd.concat(list(batches)).sort_values("t", kind="stable")
         for t, v in zip(rows["t"].tolist(), rows["v"].tolist(), strict=True):
@@ -57,11 +61,8 @@ def shocks(values: DataFrame, level: float, keep: int = 100_000) -> DataFrame:
                 if 1 + len(ordered) - bisect_left(ordered, size) <= level * (len(ordered) + 1):
                     out.append((key[0], t, 1 if v > last else -1))
                 insort(ordered, size)
-                past.append(size)
-                if len(past) > keep:
-                    del ordered[bisect_left(ordered, past.pop(0))]
             last = v
-        state.update((json.dumps([last, past]),))
+        state.update((json.dumps([last, [(size, len(list(same))) for size, same in groupby(ordered)]]),))
         yield pd.DataFrame(out, columns=["k", "t", "sign"])
 
     return values.groupBy("k").applyInPandasWithState(step, "k bigint, t bigint, sign int", "state string", "append", GroupStateTimeout.NoTimeout)

@@ -299,13 +299,13 @@ def test_whole_exposure_and_stability(spark, every_quantity):
             k = (e, t, int(flag == "R"))
             want[k] = min(want.get(k, key), key)
     origin = (pd.Timestamp("1995-01-01") - pd.Timestamp("1970-01-01")).days
-    got = {(r["e"], r["t"] - origin, r["code"]): r["id"] for r in QUERIES["interval_exposure_join_whole"](spark, d).collect()}
+    got = {(r["e"], r["t"] - origin, r["code"]): r["id"] for r in QUERIES["interval_exposure_join"](spark, d).collect()}
     assert got == want and len(want) > 100
     runs = {}
     for _, supplier, _, flag, status, _ in lines:
         runs.setdefault(flag + status, set()).add(supplier)
     pairs = [len(a & b) / len(a | b) for a, b in itertools.combinations(runs.values(), 2)]
-    assert QUERIES["run_stability_whole"](spark, d).first()["jaccard"] == pytest.approx(np.mean(pairs), abs=1e-6)
+    assert QUERIES["run_stability"](spark, d).first()["jaccard"] == pytest.approx(np.mean(pairs), abs=1e-6)
 
 
 @pytest.mark.parametrize("width", [None, 1, 3, 100])

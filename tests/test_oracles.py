@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from eventide.plans import flows, ledgers  # noqa: F401  they register their queries
+from eventide.plans import flows, ledgers, statements  # noqa: F401  they register their queries
 from eventide.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
