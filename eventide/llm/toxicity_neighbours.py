@@ -7,10 +7,10 @@ is indexed; a term that no example holds can match none and is left out of the q
 frequencies of all indexed terms are counted over all documents.
 
 The examples are placed so that alike ones are neighbours, and cut into blocks of BLOCK. Every term has a posting
-list (example, weight), stored by block, and the largest weight in each block. A query's upper bound for a block
-is the sum of its weights times those maxima; blocks are visited from the highest bound down, the postings of the
-query's terms in a block give the exact cosines there, and blocks whose bound cannot beat the K-th best cosine
-are skipped. The result is the exact K nearest examples.
+list (example, weight). A query adds up its short lists first. Its upper bound for a block is the most that these
+give to an example there, plus the sum of its weights times the block maxima of its wide lists; blocks are visited
+from the highest bound down, the wide lists complete the exact cosines of a block, and blocks whose bound cannot
+beat the K-th best cosine are skipped. The result is the exact K nearest examples.
 
 Neighbours vote with their cosine, among the nearest of several numbers (DEPTHS); a constant weight PULL stands
 for no evidence. A logistic curve, fitted to the votes that each example gets from the others (without the terms
@@ -44,8 +44,10 @@ STEMS = (4, 6, 8)
 #: Votes are taken among so many nearest examples; K is the largest number.
 DEPTHS = (10, 40, 80)
 K, BLOCK, PULL, RIDGE, PIVOTS = max(DEPTHS), 64, 0.35, 1e-4, 16
-#: A piece holds about so many bytes of text, which bounds the cosines held at once.
-PIECE = 512 << 10
+#: Lists with this share of all examples are stored as matrix rows, the longest so many at most; others stay lists.
+WIDE, WIDE_MOST = 1 / 16, 2_048
+#: Queries and postings that are held at once.
+QUERIES, POSTINGS = 256, 1 << 21
 THRESHOLD = 0.3
 SHOWN = 3
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:float,toxic:int>>"
@@ -121,7 +123,10 @@ def arrange(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, size:
 
 @dataclass
 class BlockMaxIndex:
-    """Exact K nearest vectors by cosine. Vectors are given as (row, term, weight) with rows 0 .. len(labels) - 1."""
+    """Exact K nearest vectors by cosine. Vectors are given as (row, term, weight) with rows 0 .. len(labels) - 1.
+
+    Posting lists that hold WIDE or more of all examples are stored as rows of a matrix, with their block maxima.
+    """
 
     row: np.ndarray
     term: np.ndarray
@@ -142,18 +147,23 @@ class BlockMaxIndex:
         place = np.empty(n, dtype=np.int64)
         place[order] = np.arange(n)
         row = place[self.row]
-        by = np.lexsort((row, self.term, row // BLOCK))
+        by = np.lexsort((row, self.term))
         self.row, self.term, self.weight = row[by].astype(np.int32), self.term[by].astype(np.int32), self.weight[by].astype(np.float32)
         self.labels, self.ids, self.blocks = self.labels[order], self.ids[order], -(-n // BLOCK)
 
     def tables(self) -> tuple:
-        """Where each term's postings of each block begin, and each term's largest weight in each block; made once a worker."""
+        """Where each list begins, which lists are wide, their matrix and their block maxima; made once a worker."""
         if self._tables is None:
-            key = self.row.astype(np.int64) // BLOCK * self.size + self.term
-            begin = np.searchsorted(key, np.arange(self.blocks * self.size + 1)).astype(np.int32)
-            maxima = np.zeros(self.blocks * self.size, dtype=np.float32)
-            np.maximum.at(maxima, key, self.weight)
-            self._tables = begin, np.ascontiguousarray(maxima.reshape(self.blocks, self.size).T)
+            begin = np.searchsorted(self.term, np.arange(self.size + 1))
+            n = np.diff(begin)
+            wide = np.argsort(-n, kind="stable")[:WIDE_MOST]
+            wide = np.sort(wide[n[wide] >= max(2, WIDE * len(self.labels))])
+            slot = np.full(self.size, -1, dtype=np.int64)
+            slot[wide] = np.arange(len(wide))
+            matrix = np.zeros((len(wide), self.blocks * BLOCK), dtype=np.float32)
+            own = slot[self.term] >= 0
+            matrix[slot[self.term[own]], self.row[own]] = self.weight[own]
+            self._tables = begin, n, slot, matrix, matrix.reshape(len(wide), self.blocks, BLOCK).max(2)
         return self._tables
 
     def search(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, k: int = K, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -162,20 +172,36 @@ class BlockMaxIndex:
         Queries are (row, term, weight), by row. leave: a place that each query must not find.
         """
         best, place = np.zeros((rows, k), dtype=np.float32), np.full((rows, k), -1, dtype=np.int64)
-        if not self.blocks or not len(row):
-            return best, place
-        begin, maxima = self.tables()
-        first = np.searchsorted(row, np.arange(rows + 1))
-        full = np.flatnonzero(np.diff(first))
-        bound = np.zeros((rows, self.blocks), dtype=np.float32)
-        step = max(1, (1 << 23) // self.blocks)  # entries whose maxima are gathered at once
-        for q in np.split(full, np.unique(np.searchsorted(first[full], np.arange(step, first[-1], step)))) if len(full) else []:
-            if len(q):
-                a, b = first[q[0]], first[q[-1] + 1]
-                bound[q] = np.add.reduceat(maxima[term[a:b]] * weight[a:b, None], first[q] - a, axis=0)
+        if self.blocks and len(row):
+            for a in range(0, rows, QUERIES):
+                b = min(a + QUERIES, rows)
+                i, j = np.searchsorted(row, [a, b])
+                best[a:b], place[a:b] = self._search(row[i:j] - a, term[i:j], weight[i:j], b - a, k, None if leave is None else leave[a:b])
+        return best, place
+
+    def _search(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, k: int, leave: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        begin, n, slot, matrix, maxima = self.tables()
+        wide = self.blocks * BLOCK
+        best, place = np.zeros((rows, k), dtype=np.float32), np.full((rows, k), -1, dtype=np.int64)
+        # short lists, a bounded number of postings at once
+        some = np.flatnonzero((slot[term] < 0) & (n[term] > 0))
+        m = n[term[some]]
+        short = np.zeros(rows * wide)
+        for part in np.split(np.arange(len(some)), np.flatnonzero(np.diff(np.cumsum(m) // POSTINGS)) + 1):
+            e, mm = some[part], m[part]
+            posting = spread(begin[term[e]], mm)
+            short += np.bincount(np.repeat(row[e] * wide, mm) + self.row[posting], np.repeat(weight[e], mm) * self.weight[posting], minlength=len(short))
+        short = short.reshape(rows, wide).astype(np.float32)
+        if leave is not None:
+            short[np.arange(rows), leave] = -2.0
+        # bounds: what the short lists give at most in a block, and the block maxima of the wide ones
+        query = np.zeros((rows, len(matrix)), dtype=np.float32)
+        own = slot[term] >= 0
+        query[row[own], slot[term[own]]] = weight[own]
+        bound = short.reshape(rows, self.blocks, BLOCK).max(2) + query @ maxima
         visit = np.argsort(-bound, axis=1, kind="stable")
-        cosines = np.zeros((rows, self.blocks * BLOCK), dtype=np.float32)
-        live = full
+        cosines = np.zeros((rows, wide), dtype=np.float32)
+        live = np.arange(rows)
         for turn in range(self.blocks):
             block = visit[live, turn]
             go = (bound[live, block] > 0) & (bound[live, block] + 1e-5 >= best[live, -1])
@@ -185,21 +211,9 @@ class BlockMaxIndex:
             self.visited += len(live)
             for b in np.unique(block).tolist():
                 q = live[block == b]
-                n = first[q + 1] - first[q]
-                entry = spread(first[q], n)
-                at = b * self.size + term[entry]
-                m = begin[at + 1] - begin[at]
-                some = np.flatnonzero(m)
-                m = m[some]
-                posting = spread(begin[at[some]].astype(np.int64), m)
-                own = np.repeat(np.arange(len(q)), n)[some]
-                got = np.bincount(
-                    np.repeat(own * BLOCK, m) + self.row[posting] - b * BLOCK, np.repeat(weight[entry[some]], m) * self.weight[posting], minlength=len(q) * BLOCK,
-                ).reshape(-1, BLOCK).astype(np.float32)
-                if leave is not None:
-                    mine = np.flatnonzero(leave[q] // BLOCK == b)
-                    got[mine, leave[q[mine]] % BLOCK] = 0
-                cosines[q, b * BLOCK : (b + 1) * BLOCK] = got
+                at = slice(b * BLOCK, (b + 1) * BLOCK)
+                got = np.maximum(short[q, at] + query[q] @ matrix[:, at], 0)
+                cosines[q, at] = got
                 best[q] = -np.sort(np.partition(-np.concatenate((best[q], got), 1), k - 1, axis=1)[:, :k], axis=1)
         q, at = np.nonzero((cosines > 0) & (cosines >= best[:, -1:]))
         by = np.lexsort((self.ids[at], -cosines[q, at], q))
@@ -343,7 +357,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     scored = _scored(docs.sparkSession, fit(docs, labels, "toxic", per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", PIECE):
+        for piece in pieces(batches, "text"):
             s, cosines, places, m = scored(piece)
             evidence = [
                 [{"doc_id": int(m.index.ids[p]), "cosine": float(c), "toxic": int(m.index.labels[p])} for c, p in zip(cs, ps, strict=True) if p >= 0]
@@ -360,7 +374,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, columns: list[str], per_class
     scored = _scored(docs.sparkSession, fit(docs, labels, "toxic", per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", PIECE):
+        for piece in pieces(batches, "text"):
             s, *_ = scored(piece)
             yield piece.filter(pa.array(s < threshold))
 
