@@ -363,6 +363,23 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] == sizes[4] == sizes[5] > 0
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_odd_tables(spark, sf_dir, tmp_path, empty):
+    """Nulls, long digits, copies, columns with the operators' own names, n_chars as int; and no documents at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from eventide.llm.bpe_chunks import ChunkCoder, default_path
+
+    schema = "doc_id bigint, text string, n_chars int, _words string, items string, spans string, class_id string, own_key string, score string, label string, n_tokens string"
+    texts = [] if empty else [None, "", None, "7" * 30_000, "1.2.3.4 and a@b.org", "plain words here", "plain words here", "x " * 5000, "é" * 3000, "<|endoftext|> inside"]
+    spark.createDataFrame([(i, t, len(t or ""), *"abcdefgh") for i, t in enumerate(texts)], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["doc_id"]: r for r in pipeline.run(spark, str(tmp_path)).collect()}
+    coder = ChunkCoder(default_path())
+    kept = {0: "", 3: "7" * 30_000, 4: "[ip] and [email]", 5: "plain words here", 7: "x " * 5000, 8: "é" * 3000, 9: "<|endoftext|> inside"}  # null and empty texts are copies
+    assert {i: (r["n_tokens"], r["ids_sha256"]) for i, r in got.items()} == ({} if empty else {i: (lambda c: (c[0], hashlib.sha256(c[1].encode()).hexdigest()))(coder.whole(t) if t else (0, "", "")) for i, t in kept.items()})
+
+
 def test_registry_names():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
