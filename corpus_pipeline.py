@@ -3,6 +3,11 @@
 Toxic documents go, one document of each group of near-duplicates stays, documents contaminated with benchmark
 passages go, personal data are replaced by their kind, and what is left is encoded. Every stage works on all that
 the one before it kept. The last one returns the digests of encode_documents instead of documents.
+
+Defined cases: null and empty texts are copies of each other, so one of them stays, and it has no tokens. Of repeated
+rows and of near-duplicates the smallest doc_id stays. Without labels of both kinds no document is toxic. Very long
+texts are handled whole. Empty tables give an empty result. Extra columns, whatever their names, stay until the last
+stage; n_chars keeps its type. Documents of a group that are equal in every respect leave one row.
 """
 
 from __future__ import annotations
