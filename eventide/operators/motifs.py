@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventide.operators.ranks import running
+
 
 def grammar(predicates: Sequence[int], q_max: int = 3, relations: Sequence[str] = ("unordered", "ordered")) -> list[tuple[tuple[int, ...], str]]:
     """Atomic patterns, then combinations (unordered) and permutations (ordered) up to q_max."""
@@ -112,12 +114,11 @@ def history_marked(events: DataFrame, lookback: int, least: int) -> DataFrame:
 
 def inverse_cdf(rows: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
     """keys, q, value: the ceil(q * n)-th smallest value, exact for every n (no floating multiple is trusted)."""
-    by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_m"))
-    ranked = counted.withColumn("_hi", F.sum("_m").over(by.orderBy(value))).withColumn("_n", F.sum("_m").over(by))
+    ranked = running(counted, [value], "_m", "_low", "_n", keys).withColumn("_hi", F.col("_low") + F.col("_m"))
     wanted = ranked.withColumn("q", F.explode(F.array(*map(F.lit, quantiles))))
     need = F.greatest(F.lit(1), F.ceil(F.round(F.col("q") * F.col("_n"), 9)))
-    return wanted.where((F.col("_hi") >= need) & (F.col("_hi") - F.col("_m") < need)).select(*keys, "q", F.col(value).alias("value"))
+    return wanted.where((F.col("_hi") >= need) & (F.col("_low") < need)).select(*keys, "q", F.col(value).alias("value"))
 
 
 def productive(matches: DataFrame, entities: DataFrame) -> DataFrame:

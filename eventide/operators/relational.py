@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventide.operators.ranks import running
+
 
 def interval_exposure(intervals: DataFrame, shocks: DataFrame, keys: Sequence[str], width: int | None = None) -> DataFrame:
     """e, t, code, id: shocks (keys, t, code, id) strictly inside intervals (keys, e, start, end); the smallest id each.
@@ -49,11 +51,11 @@ def candidate_entities(matches: DataFrame, window: int) -> DataFrame:
 
 def ordered_partition(rows: DataFrame, order: Sequence[str], fractions: Sequence[float]) -> DataFrame:
     """rows with part by place: 0, 1, 2 at the nearest cumulative fractions of all rows, each at least one row."""
-    one = W.partitionBy(F.lit(0))
-    n = F.count("*").over(one)
+    n = F.col("_n")
     first = F.greatest(F.lit(1), F.least(n - 2, F.round(n * fractions[0])))
     second = F.greatest(first + 1, F.least(n - 1, F.round(n * (fractions[0] + fractions[1]))))
-    return rows.withColumn("_i", F.row_number().over(one.orderBy(*order))).withColumn("part", F.when(F.col("_i") <= first, 0).when(F.col("_i") <= second, 1).otherwise(2)).drop("_i")
+    placed = running(rows.withColumn("_one", F.lit(1)), order, "_one", "_i", "_n")
+    return placed.withColumn("part", F.when(F.col("_i") < first, 0).when(F.col("_i") < second, 1).otherwise(2)).drop("_i", "_n", "_one")
 
 
 def month_partition(days: DataFrame, seed: int, fractions: Sequence[float]) -> DataFrame:
@@ -80,11 +82,12 @@ def case_cohort(entities: DataFrame, targets: DataFrame, sample: int, seed: int)
 
 
 def merge_datasets(parts: Sequence[DataFrame], order: Sequence[str]) -> DataFrame:
-    """Union of entity tables (source, part, e) with code: a dense new key in the given order."""
+    """Union of entity tables (source, part, e) with code: a dense new key in the given order, whose last column tells most rows apart."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("code", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("bigint"))
+    placed = running(out.withColumn("_one", F.lit(1)), order, "_one", "code", "_n", at=len(order) - 1)
+    return placed.withColumn("code", F.col("code").cast("bigint")).drop("_one", "_n")
 
 
 def segment_sequence(rows: DataFrame, longest: int, context: int) -> DataFrame:
@@ -122,10 +125,15 @@ def violations(entities: DataFrame, events: DataFrame, targets: DataFrame) -> Da
     return out
 
 
-def average_rank(value: str, keys: Sequence[str] = ()) -> Column:
-    """Rank of a value with ties averaged."""
-    by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    return F.rank().over(by.orderBy(value)) + (F.count("*").over(by.partitionBy(*keys, value) if keys else W.partitionBy(value)) - 1) / 2.0
+def average_ranks(rows: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """rows with out, the rank of a value within the keys with ties averaged; ranks come from counts per distinct value."""
+    names = [*keys, value]
+    counts = running(rows.groupBy(*names).agg(F.count("*").alias("_m")), [value], "_m", "_b", "_n", keys)
+    ranks = counts.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(names)], (F.col("_b") + (F.col("_m") + 1) / 2.0).alias(out))
+    same = F.lit(True)
+    for i, c in enumerate(names):
+        same = same & F.col(c).eqNullSafe(F.col(f"_r{i}"))
+    return rows.join(ranks, same).drop(*[f"_r{i}" for i in range(len(names))])
 
 
 def classification_metrics(rows: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -138,8 +146,7 @@ def classification_metrics(rows: DataFrame, y: str, p: str, keys: Sequence[str]
     each = rows.groupBy(*keys, p).agg(
         F.count("*").alias("_m"), pos.alias("_pos"), F.sum(F.pow(F.col(p) - F.col(y), F.lit(2))).alias("_b"), F.sum(-F.col(y) * F.log(clip) - (1 - F.col(y)) * F.log(1 - clip)).alias("_l")
     )
-    below = F.sum("_m").over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(p)) - F.col("_m")
-    ranked = each.withColumn("_r", below + (F.col("_m") + 1) / 2.0)
+    ranked = running(each, [p], "_m", "_below", "_n", keys).withColumn("_r", F.col("_below") + (F.col("_m") + 1) / 2.0)
     out = ranked.groupBy(*keys).agg(F.sum("_m").alias("n"), F.sum("_pos").alias("positives"), F.sum(F.col("_pos") * F.col("_r")).alias("_rs"), F.sum("_b").alias("_b"), F.sum("_l").alias("_l"))
     np_, nn = F.col("positives"), F.col("n") - F.col("positives")
     return out.select(*keys, "n", "positives", F.when((np_ > 0) & (nn > 0), (F.col("_rs") - np_ * (np_ + 1) / 2.0) / (np_ * nn)).alias("auroc"), (F.col("_b") / F.col("n")).alias("brier"), (F.col("_l") / F.col("n")).alias("log_loss"))

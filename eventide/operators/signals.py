@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventide.operators.ranks import running
+
 
 def duration_weights(rows: DataFrame, ends: DataFrame) -> DataFrame:
     """rows (k, t, v) with w, the time until the next row or until the end of the session (k, stop)."""
@@ -20,15 +22,14 @@ def duration_weights(rows: DataFrame, ends: DataFrame) -> DataFrame:
 def weighted_quantile(rows: DataFrame, keys: Sequence[str], value: str, weight: str, q: float) -> DataFrame:
     """keys, value: the smallest value whose cumulative weight reaches q of the total; NaN and weights <= 0 are dropped."""
     clean = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.col(weight) > 0)).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    return clean.withColumn("_c", F.sum("_w").over(by.orderBy(value))).withColumn("_t", F.sum("_w").over(by)).where(F.col("_c") >= q * F.col("_t")).groupBy(*keys).agg(F.min(value).alias("value"))
+    ranked = running(clean, [value], "_w", "_b", "_t", keys)
+    return ranked.where(F.col("_b") + F.col("_w") >= q * F.col("_t")).groupBy(*keys).agg(F.min(value).alias("value"))
 
 
 def percentile_profile(rows: DataFrame, value: str, weight: str, knots: int = 100) -> DataFrame:
     """knot, prob: values at 0 .. knots percent of cumulative weight, each with its largest probability."""
     clean = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(value).agg(F.sum(weight).alias("_w"))
-    one = W.partitionBy(F.lit(0))
-    ranked = clean.withColumn("_c", F.sum("_w").over(one.orderBy(value))).withColumn("_t", F.sum("_w").over(one)).withColumn("_b", F.col("_c") - F.col("_w"))
+    ranked = running(clean, [value], "_w", "_b", "_t").withColumn("_c", F.col("_b") + F.col("_w"))
     steps = ranked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(knots))))
     hit = steps.where((F.col("_c") >= F.col("i") / knots * F.col("_t")) & ((F.col("_b") < F.col("i") / knots * F.col("_t")) | ((F.col("i") == 0) & (F.col("_b") == 0))))
     return hit.groupBy(F.col(value).alias("knot")).agg((F.max("i") / knots).alias("prob"))
@@ -125,7 +126,7 @@ def prequential_shocks(rows: DataFrame, level: float) -> DataFrame:
     """k, t, sign of changes as large as all but a share level of the past: p = (1 + larger before) / (1 + before).
 
     The rank among the past is a range join of each key's changes with its earlier ones; long histories go
-    through the keyed fold in eventide.streaming instead, which keeps a sorted past.
+    through folds.prequential_fold instead, which keeps a sorted past.
     """
     order = W.partitionBy("k").orderBy("t")
     changes = rows.withColumn("d", F.col("v") - F.lag("v").over(order)).where("d is not null and d <> 0").withColumn("i", F.row_number().over(order))

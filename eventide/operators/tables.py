@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventide.functions import scalar as S
+from eventide.operators.ranks import running
 
 
 def running_total(rows: DataFrame, key: str, value: str, out: str, width: int = 4096) -> DataFrame:
@@ -100,10 +101,10 @@ def overlap_components(intervals: DataFrame) -> DataFrame:
 def risk_set_sums(entities: DataFrame, weight: Column, out: str) -> DataFrame:
     """t, out: the sum of a weight over the entities at risk, at every tick where the risk set changes.
 
-    Entries add and exits subtract; only the ticks with a change are ordered in one task.
+    Entries add and exits subtract; only the ticks with a change are ordered, by ranges.
     """
     moves = entities.select(F.col("start").alias("t"), weight.alias("x")).unionAll(entities.select(F.col("end") + 1, -weight)).groupBy("t").agg(F.sum("x").alias("x"))
-    return moves.select("t", F.sum("x").over(W.orderBy("t")).alias(out))
+    return running(moves, ["t"], "x", "_b", "_n").select("t", (F.col("_b") + F.col("x")).alias(out))
 
 
 #: Words of a reserve update, in order.

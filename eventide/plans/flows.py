@@ -54,7 +54,7 @@ def rule_search(spark, d) -> DataFrame:
 def rule_certificates(spark, d) -> DataFrame:
     x, fitting, records = _searched(spark, d)
     base = L.fit(fitting, ())
-    got = L.certify(x.only(1), base, records, resamples=4000)
+    got = L.certify(x.only(1), base, records, resamples=20_000)
     fitting.close()
     return spark.createDataFrame([(c.key, *map(float, (c.f1, c.f2, c.f3_lower, c.p_max, c.p_adjusted)), bool(c.certified)) for c in got], "support string, f1 double, f2 double, f3_lower double, p_max double, p_adjusted double, certified boolean")
 
@@ -125,9 +125,9 @@ def rule_landmark_scores(spark, d) -> DataFrame:
     f = L.fit(x.only(0), rule)
     points = P.landmarks(x.entities, 12).join(x.entities.where("part = 2").select("e", "stratum"), "e")
     at = points.withColumn("row", F.col("t") + 1).join(x.active(rule), ["e", "row"], "left").fillna(0.0, ["x0"])
-    base = F.lit(-20.0)
-    for (s, _), b in f.cells.items():
-        base = F.when(F.col("stratum") == s, b).otherwise(base)
+    base, cell = F.lit(-20.0), P.cell(x.bins)
+    for (s, c), b in f.cells.items():
+        base = F.when((F.col("stratum") == s) & (cell == c), b).otherwise(base)
     scored = at.select("e", "t", (-F.expm1(-24 * F.exp(base + float(f.beta[0]) * F.col("x0")))).alias("p"))
     labels = P.forward_labels(points.select("e", "t"), x.targets, 24)
     return R.classification_metrics(scored.join(labels, ["e", "t"]), "y", "p")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from statistics import NormalDist
 
@@ -26,18 +27,29 @@ def mean_test(values: np.ndarray, threshold: float = 0.0, alpha: float = 0.05) -
     """One-sided normal test that the mean of independent values exceeds the threshold."""
     x = np.asarray(values, dtype=float)
     x = x[np.isfinite(x)]
-    if len(x) < 2 or x.std(ddof=1) <= np.finfo(float).eps:
-        return MeanTest(len(x), float(x.mean()) if len(x) else math.nan, -math.inf, 1.0, -math.inf)
-    error = x.std(ddof=1) / math.sqrt(len(x))
-    z = (x.mean() - threshold) / error
-    return MeanTest(len(x), float(x.mean()), float(z), _tail(z), float(x.mean() - NormalDist().inv_cdf(1 - alpha) * error))
+    return mean_test_of(len(x), float(x.mean()), float(x.var()), threshold, alpha) if len(x) else mean_test_of(0, math.nan, 0.0)
+
+
+def mean_test_of(n: int, mean: float, m2: float, threshold: float = 0.0, alpha: float = 0.05) -> MeanTest:
+    """mean_test() of n values by their mean and second central moment."""
+    sd = math.sqrt(m2 * n / (n - 1)) if n > 1 else 0.0
+    if n < 2 or sd <= np.finfo(float).eps:
+        return MeanTest(n, mean, -math.inf, 1.0, -math.inf)
+    error = sd / math.sqrt(n)
+    z = (mean - threshold) / error
+    return MeanTest(n, mean, z, _tail(z), mean - NormalDist().inv_cdf(1 - alpha) * error)
+
+
+def robust_scale(n: int, alpha: float = 0.05) -> float:
+    """The radius of the density-ratio ball, in standard deviations of the values."""
+    return NormalDist().inv_cdf(1 - alpha) / math.sqrt(n)
 
 
 def robust_influence(values: np.ndarray, alpha: float = 0.05) -> tuple[float, np.ndarray]:
     """The least mean within a density-ratio ball of radius z**2 / n, and each value's influence on it."""
     x = np.asarray(values, dtype=float)
     sd = x.std()
-    scale = NormalDist().inv_cdf(1 - alpha) / math.sqrt(len(x))
+    scale = robust_scale(len(x), alpha)
     c = x - x.mean()
     return float(x.mean() - scale * sd), c - scale * (c * c - sd * sd) / (2 * sd)
 
@@ -46,14 +58,23 @@ def robust_test(values: np.ndarray, threshold: float = 0.0, alpha: float = 0.05)
     """One-sided test of the least mean under local shifts of the distribution of entities."""
     x = np.asarray(values, dtype=float)
     x = x[np.isfinite(x)]
-    if len(x) < 3 or x.std() <= np.finfo(float).eps:
-        return MeanTest(len(x), float(x.mean()) if len(x) else math.nan, -math.inf, 1.0, -math.inf)
-    least, influence = robust_influence(x, alpha)
-    error = influence.std(ddof=1) / math.sqrt(len(x))
+    c = x - x.mean() if len(x) else x
+    return robust_test_of(len(x), float(x.mean()), *(float((c**p).mean()) for p in (2, 3, 4)), threshold, alpha) if len(x) else robust_test_of(0, math.nan, 0.0, 0.0, 0.0)
+
+
+def robust_test_of(n: int, mean: float, m2: float, m3: float, m4: float, threshold: float = 0.0, alpha: float = 0.05) -> MeanTest:
+    """robust_test() of n values by their mean and central moments; the influences' variance follows from them."""
+    sd = math.sqrt(m2)
+    if n < 3 or sd <= np.finfo(float).eps:
+        return MeanTest(n, mean, -math.inf, 1.0, -math.inf)
+    scale = robust_scale(n, alpha)
+    variance = max(0.0, m2 - scale / sd * m3 + scale * scale / (4 * m2) * (m4 - m2 * m2))
+    error = math.sqrt(variance / (n - 1))
     if error <= np.finfo(float).eps:
-        return MeanTest(len(x), float(x.mean()), -math.inf, 1.0, -math.inf)
+        return MeanTest(n, mean, -math.inf, 1.0, -math.inf)
+    least = mean - scale * sd
     z = (least - threshold) / error
-    return MeanTest(len(x), least, float(z), _tail(z), float(least - NormalDist().inv_cdf(1 - alpha) * error))
+    return MeanTest(n, least, z, _tail(z), least - NormalDist().inv_cdf(1 - alpha) * error)
 
 
 def l1_radius(n: int, environments: int, alpha: float) -> float:
@@ -102,11 +123,15 @@ def romano_wolf(statistics: list[float], influences: np.ndarray, resamples: int
     The multipliers enter through the covariance of the influences, so nothing of the size entities x resamples
     is ever made.
     """
-    k = len(statistics)
-    if not k:
+    if not len(statistics):
         return []
     z = np.asarray(influences, dtype=float)
-    cov = z @ z.T / z.shape[1]
+    return romano_wolf_of(statistics, z @ z.T / z.shape[1], resamples, seed)
+
+
+def romano_wolf_of(statistics: list[float], cov: np.ndarray, resamples: int = 20_000, seed: int = 1) -> list[float]:
+    """romano_wolf() by the covariance of the standardised influences."""
+    k = len(statistics)
     values, vectors = np.linalg.eigh((cov + cov.T) / 2)
     draws = np.random.default_rng(seed).standard_normal((resamples, k)) @ (vectors * np.sqrt(np.maximum(values, 0))).T
     order = np.argsort(-np.asarray(statistics), kind="stable")
@@ -124,23 +149,33 @@ def simplex_mixture(columns: np.ndarray, linear: np.ndarray, counts: np.ndarray,
     columns: target rows by components; linear: each component's total intensity. Exponentiated gradient with
     backtracking; the objective is concave, so the limit is the optimum.
     """
-    k = columns.shape[1]
-    w = np.full(k, 1.0 / k)
-    value = lambda u: float(counts @ np.log(np.maximum(columns @ u, 1e-300)) - linear @ u)
-    now, step = value(w), 1.0
+    def sums(u: np.ndarray) -> tuple[float, np.ndarray]:
+        rate = np.maximum(columns @ u, 1e-300)
+        return float(counts @ np.log(rate)), columns.T @ (counts / rate)
+
+    return simplex_ascent(sums, linear, rounds)
+
+
+def simplex_ascent(sums: Callable, linear: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """The steps of simplex_mixture(); sums(w) gives sum counts * log(rate) and, by component, sum counts * column / rate."""
+    k = len(linear)
+    w, step = np.full(k, 1.0 / k), 1.0
+    logs, first = sums(w)
+    now = logs - float(linear @ w)
     for _ in range(rounds):
-        grad = columns.T @ (counts / np.maximum(columns @ w, 1e-300)) - linear
+        grad = first - linear
         scale = max(1e-12, np.abs(grad).max())
         while step > 1e-10:
             new = w * np.exp(np.clip(step * grad / scale, -30, 30))
             new /= new.sum()
-            after = value(new)
+            logs, ahead = sums(new)
+            after = logs - float(linear @ new)
             if after >= now:
                 break
             step /= 2
         if step <= 1e-10 or after - now < 1e-12 * max(1.0, abs(now)):
             break
-        w, now, step = new, after, min(step * 2, 8.0)
+        w, now, first, step = new, after, ahead, min(step * 2, 8.0)
     return w
 
 

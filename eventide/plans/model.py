@@ -39,6 +39,8 @@ class Rule:
 
 
 Support = tuple[Rule, ...]
+#: Rows of sufficient statistics that the driver takes; more are summed by passes.
+COLLECTED = 500_000
 
 
 def support_key(support: Sequence[Rule]) -> str:
@@ -132,86 +134,118 @@ class Fit:
     converged: bool
 
 
-def _arrays(design: DataFrame, k: int, limit: int = 500_000) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
+def _arrays(design: DataFrame, k: int, limit: int = COLLECTED) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray] | None:
+    """The design on the driver; None where it has more than limit distinct rows."""
     rows = design.where("exposure > 0").limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct design rows; fit with fit_distributed")
+        return None
     cells = sorted({(r["stratum"], r["cell"]) for r in rows})
     at = {c: i for i, c in enumerate(cells)}
     x = np.array([[r[f"x{j}"] for j in range(k)] for r in rows], dtype=float).reshape(len(rows), k)
     return x, cells, np.array([at[(r["stratum"], r["cell"])] for r in rows]), np.array([r["exposure"] for r in rows], dtype=float), np.array([r["events"] for r in rows], dtype=float)
 
 
-def newton(x: np.ndarray, cell: np.ndarray, exposure: np.ndarray, events: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float, bool]:
-    """Poisson likelihood, free baselines per cell, rule coefficients at least 0: projected Newton with halving."""
-    m, k = int(cell.max()) + 1, x.shape[1]
-    base = np.log((np.bincount(cell, events, m) + 0.5) / (np.bincount(cell, exposure, m) + 1.0))
-    theta = np.concatenate([base, np.zeros(k)])
-    d = np.column_stack([np.eye(m)[cell], x])
-    free = np.concatenate([np.ones(m, bool), np.zeros(k, bool)])
-
-    def loss(t: np.ndarray) -> float:
-        eta = np.clip(d @ t, -745, 700)
-        return float(exposure @ np.exp(eta) - events @ eta)
-
-    now = loss(theta)
+def _projected(at: Callable, theta: np.ndarray, free: np.ndarray, total: float, rounds: int) -> tuple[np.ndarray, float, bool]:
+    """Projected Newton with halving, coefficients that are not free at least 0; at(theta) gives loss, gradient and Hessian."""
+    now, grad, h = at(theta)
     for _ in range(rounds):
-        rate = exposure * np.exp(np.clip(d @ theta, -745, 700))
-        grad = d.T @ (rate - events)
         work = free | (theta > 0) | (grad < 0)
-        if np.abs(grad[work]).max(initial=0) < 1e-8 * max(1.0, events.sum()):
-            return theta[:m], theta[m:], now, True
-        h = (d[:, work] * rate[:, None]).T @ d[:, work] + 1e-10 * np.eye(work.sum())
+        if np.abs(grad[work]).max(initial=0) < 1e-8 * max(1.0, total):
+            return theta, now, True
         step = np.zeros_like(theta)
-        step[work] = -np.linalg.lstsq(h, grad[work], rcond=None)[0]
+        step[work] = -np.linalg.lstsq(h[np.ix_(work, work)] + 1e-10 * np.eye(work.sum()), grad[work], rcond=None)[0]
         size = 1.0
         for _ in range(60):
             new = theta + size * step
-            new[m:] = np.maximum(new[m:], 0)
-            after = loss(new)
-            if after <= now + 1e-4 * grad @ (new - theta):
+            new[~free] = np.maximum(new[~free], 0)
+            after = at(new)
+            if after[0] <= now + 1e-4 * grad @ (new - theta):
                 break
             size /= 2
-        done = now - after < 1e-11 * max(1.0, abs(now))
-        theta, now = new, min(now, after)
+        done = now - after[0] < 1e-11 * max(1.0, abs(now))
+        theta, now, grad, h = new, min(now, after[0]), *after[1:]
         if done:
-            return theta[:m], theta[m:], now, True
-    return theta[:m], theta[m:], now, False
+            return theta, now, True
+    return theta, now, False
+
+
+def _start(events: np.ndarray, exposure: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Baselines from each cell's events and exposure, coefficients 0; and which parameters are free in sign."""
+    m = len(events)
+    return np.concatenate([np.log((events + 0.5) / (exposure + 1.0)), np.zeros(k)]), np.concatenate([np.ones(m, bool), np.zeros(k, bool)])
+
+
+def newton(x: np.ndarray, cell: np.ndarray, exposure: np.ndarray, events: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float, bool]:
+    """Poisson likelihood, free baselines per cell, rule coefficients at least 0."""
+    m, k = int(cell.max()) + 1, x.shape[1]
+    theta, free = _start(np.bincount(cell, events, m), np.bincount(cell, exposure, m), k)
+    d = np.column_stack([np.eye(m)[cell], x])
+
+    def at(t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        eta = np.clip(d @ t, -745, 700)
+        rate = exposure * np.exp(eta)
+        return float(rate.sum() - events @ eta), d.T @ (rate - events), (d * rate[:, None]).T @ d
+
+    theta, loss, ok = _projected(at, theta, free, events.sum(), rounds)
+    return theta[:m], theta[m:], loss, ok
 
 
 def fit(data: Data, rules: Support) -> Fit:
-    """Both signs of a rule share one design, which is aggregated once."""
+    """Both signs of a rule share one design, which is aggregated once; designs too large to collect are fitted by passes."""
     plain = tuple(Rule(r.pattern, r.relation, r.window) for r in rules)
     if plain not in data.arrays:
         data.arrays[plain] = _arrays(data.design(plain), len(plain))
+    if data.arrays[plain] is None:
+        signed = [(r.sign * F.col(f"x{k}")).alias(f"x{k}") for k, r in enumerate(rules)]
+        cells, base, beta, nll, ok = fit_by_cells(data.design(plain).select("stratum", "cell", *signed, "exposure", "events"), [f"x{k}" for k in range(len(rules))], ("stratum", "cell"))
+        return Fit(rules, dict(zip(cells, base.tolist(), strict=True)), beta, nll, ok)
     x, cells, cell, exposure, events = data.arrays[plain]
     x = x * np.array([r.sign for r in rules], dtype=float)
     base, beta, nll, ok = newton(x, cell, exposure, events)
     return Fit(rules, dict(zip(cells, base.tolist(), strict=True)), beta, nll, ok)
 
 
-def fit_distributed(design: DataFrame, values: Sequence[str], rounds: int = 25) -> tuple[np.ndarray, float]:
-    """The same fit with one aggregation per step, for designs too large to collect; one baseline for all cells."""
-    names = [F.lit(1.0), *[F.col(v) for v in values]]
-    theta, n = np.zeros(len(names)), len(names)
-    total = design.agg(F.sum("exposure").alias("x"), F.sum("events").alias("n")).first()
-    theta[0] = math.log((total["n"] + 0.5) / (total["x"] + 1.0))
-    nll = math.inf
-    for _ in range(rounds):
-        eta = sum((float(t) * c for t, c in zip(theta, names, strict=True)), F.lit(0.0))
-        rate = F.col("exposure") * F.exp(eta)
-        sums = [F.sum((rate - F.col("events")) * c) for c in names] + [F.sum(rate * names[i] * names[j]) for i in range(n) for j in range(i, n)] + [F.sum(rate - F.col("events") * eta)]
-        got = list(design.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first())
-        grad, after = np.array(got[:n]), got[-1]
-        h = np.zeros((n, n))
-        for v, (i, j) in zip(got[n:-1], [(i, j) for i in range(n) for j in range(i, n)], strict=True):
-            h[i, j] = h[j, i] = v
-        if abs(nll - after) < 1e-9 * max(1.0, abs(after)):
-            break
-        nll = after
-        theta -= np.linalg.lstsq(h + 1e-10 * np.eye(n), grad, rcond=None)[0]
-        theta[1:] = np.maximum(theta[1:], 0)
-    return theta, nll
+def fit_by_cells(design: DataFrame, values: Sequence[str], cells: Sequence[str] = (), rounds: int = 100) -> tuple[list[tuple], np.ndarray, np.ndarray, float, bool]:
+    """newton() with one aggregation per evaluation; what comes back is one row of sums for each cell."""
+    rows, k = design.where("exposure > 0").select(*cells, *values, "exposure", "events").persist(), len(values)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    x = [F.col(v) for v in values]
+    fixed = rows.groupBy(*cells).agg(F.sum("exposure").alias("_x"), F.sum("events").alias("_n"), *[F.sum(F.col("events") * c).alias(f"_s{j}") for j, c in enumerate(x)]).collect()
+    fixed.sort(key=lambda r: tuple(r[c] for c in cells))
+    known = [tuple(r[c] for c in cells) for r in fixed]
+    place, m = {c: i for i, c in enumerate(known)}, len(known)
+    seen = np.array([float(r["_n"]) for r in fixed] + [sum(float(r[f"_s{j}"]) for r in fixed) for j in range(k)])
+    theta, free = _start(seen[:m], np.array([float(r["_x"]) for r in fixed]), k)
+
+    def at(t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        based = rows.withColumn("_b", F.lit(float(t[0])))
+        if cells:  # one row for each cell
+            table = rows.sparkSession.createDataFrame([(*c, float(b)) for c, b in zip(known, t, strict=False)], ", ".join(f"{c} {design.schema[c].dataType.simpleString()}" for c in cells) + ", _b double")
+            based = rows.join(F.broadcast(table), list(cells))
+        eta = sum((float(w) * c for w, c in zip(t[m:], x, strict=True)), F.col("_b"))
+        rated = based.withColumn("_r", F.col("exposure") * F.exp(F.greatest(F.lit(-745.0), F.least(F.lit(700.0), eta))))
+        sums = [F.sum("_r"), *[F.sum(F.col("_r") * c) for c in x], *[F.sum(F.col("_r") * x[i] * x[j]) for i, j in pairs]]
+        grad, h = -seen, np.zeros((m + k, m + k))
+        for r in rated.groupBy(*cells).agg(*[v.alias(f"_s{i}") for i, v in enumerate(sums)]).collect():
+            c, got = place[tuple(r[n] for n in cells)], [r[f"_s{i}"] for i in range(len(sums))]
+            grad[c] += got[0]
+            grad[m:] += got[1 : k + 1]
+            h[c, c] = got[0]
+            h[c, m:] = h[m:, c] = got[1 : k + 1]
+            for v, (i, j) in zip(got[k + 1 :], pairs, strict=True):
+                h[m + i, m + j] += v
+                h[m + j, m + i] = h[m + i, m + j]
+        return float((grad + seen)[:m].sum() - seen @ t), grad, h
+
+    theta, loss, ok = _projected(at, theta, free, seen[:m].sum(), rounds)
+    rows.unpersist()
+    return known, theta[:m], theta[m:], loss, ok
+
+
+def fit_distributed(design: DataFrame, values: Sequence[str], rounds: int = 100) -> tuple[np.ndarray, float]:
+    """fit_by_cells() with one baseline for all rows: parameters and loss."""
+    _, base, beta, nll, _ = fit_by_cells(design, values, (), rounds)
+    return np.concatenate([base, beta]), nll
 
 
 @dataclass
@@ -308,22 +342,42 @@ def certify(data: Data, base: Fit, records: Sequence[Record], alpha: float = 0.0
     """Frozen predictors on held-out entities: score direction, mean gain and robust gain must all be positive.
 
     The largest of the three p-values stands for a support; step-down max-T over all supports adjusts them, and
-    an adjusted p-value is never below its raw one. Nothing is refitted.
+    an adjusted p-value is never below its raw one. Nothing is refitted. Gains of entities stay in Spark: the driver
+    gets their moments and the products of the supports' influences.
     """
-    ids = sorted(r["e"] for r in data.entities.select("e").collect())
-    at = {e: i for i, e in enumerate(ids)}
+    if not records:
+        return []
+    parts = data.entities.select("e", F.lit(-1).alias("k"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("score"))
+    for k, record in enumerate(records):
+        parts = parts.unionByName(entity_gains(data, base, record.fit).select("e", F.lit(k).alias("k"), "gain", "score"))
+    names = [(f"g{k}", f"s{k}") for k in range(len(records))]
+    held = [F.sum(F.when(F.col("k") == k, F.col(c)).otherwise(0.0)).alias(n) for k, pair in enumerate(names) for c, n in zip(("gain", "score"), pair, strict=True)]
+    wide = parts.groupBy("e").agg(*held).persist()
+    means = wide.agg(F.count("*").alias("n"), *[F.avg(n).alias(n) for pair in names for n in pair]).first()
+    n = means["n"]
+    if not n:
+        wide.unpersist()
+        return [Certificate(support_key(r.support), 1.0, 1.0, -math.inf, 1.0, 1.0, False) for r in records]
+    centred = wide.select(*[(F.col(c) - means[c]).alias(c) for pair in names for c in pair])
+    power = lambda c, p: F.avg(F.pow(c, F.lit(float(p))))
+    moments = centred.agg(*[power(c, p).alias(f"{c}_{p}") for pair in names for c in pair for p in (2, 3, 4)]).first()
     tests, influences = [], []
-    for record in records:
-        gain, score = np.zeros(len(ids)), np.zeros(len(ids))
-        for r in entity_gains(data, base, record.fit).collect():
-            gain[at[r["e"]]], score[at[r["e"]]] = r["gain"], r["score"]
-        f1, f2, f3 = I.mean_test(score, alpha=alpha), I.mean_test(gain, alpha=alpha), I.robust_test(gain, alpha=alpha)
-        weakest = min((f1, score), (f2, gain), key=lambda t: t[0].statistic)
-        worst = f3 if f3.statistic < weakest[0].statistic else weakest[0]
-        x = I.robust_influence(gain, alpha)[1] if worst is f3 and gain.std() > 0 else weakest[1] - weakest[1].mean()
-        influences.append(x / x.std() if x.std() > 0 else np.zeros(len(ids)))
+    for g, s in names:
+        m2, m3, m4 = (moments[f"{g}_{p}"] for p in (2, 3, 4))
+        f1, f2, f3 = I.mean_test_of(n, means[s], moments[f"{s}_2"], alpha=alpha), I.mean_test_of(n, means[g], m2, alpha=alpha), I.robust_test_of(n, means[g], m2, m3, m4, alpha=alpha)
+        weakest, column = min((f1, s), (f2, g), key=lambda t: t[0].statistic)
+        worst, x = (f3, F.col(g) - I.robust_scale(n, alpha) * (F.col(g) * F.col(g) - m2) / (2 * math.sqrt(m2))) if f3.statistic < weakest.statistic and m2 > 0 else (f3 if f3.statistic < weakest.statistic else weakest, F.col(column))
+        influences.append(x)
         tests.append((f1, f2, f3, worst))
-    adjusted = I.romano_wolf([t[3].statistic for t in tests], np.array(influences), resamples) if tests else []
+    products = np.zeros((len(tests), len(tests)))
+    shown = centred.select(*[x.alias(f"x{k}") for k, x in enumerate(influences)])
+    for i in range(len(tests)):  # a row of products at a time, so that no aggregation grows with the square
+        got = shown.agg(*[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{j}") for j in range(i, len(tests))]).first()
+        products[i, i:] = products[i:, i] = got
+    wide.unpersist()
+    size = np.sqrt(np.diag(products))
+    unit = np.where(size > 0, 1 / np.where(size > 0, size, 1.0), 0.0)
+    adjusted = I.romano_wolf_of([t[3].statistic for t in tests], products * np.outer(unit, unit), resamples)
     out = []
     for record, (f1, f2, f3, worst), p in zip(records, tests, adjusted, strict=True):
         p = max(p, worst.pvalue)
@@ -338,23 +392,40 @@ def compact(certificates: Sequence[Certificate], scores: dict[str, float]) -> li
 
 
 def mixture(data: Data, base: Fit, fits: Sequence[Fit]) -> np.ndarray:
-    """Convex weights of frozen models (the baseline first), from sufficient statistics: totals and target rows."""
-    columns = []
-    for f in (base, *fits):
-        if not f.rules:
-            rows = data.targets.join(data.entities.select("e", "stratum"), "e").withColumn("cell", P.cell(data.bins, "t"))
-            total = data.design(()).collect()
-            linear = sum(r["exposure"] * math.exp(f.cells.get((r["stratum"], r["cell"]), -20.0)) for r in total)
-            at = {(r["e"], r["t"]): (math.exp(f.cells.get((r["stratum"], r["cell"]), -20.0)), r["mult"]) for r in rows.collect()}
-            columns.append((linear, at))
-            continue
-        names = [f"x{k}" for k in range(len(f.rules))]
-        rate = lambda r: math.exp(f.cells.get((r["stratum"], r["cell"]), -20.0) + sum(b * r[n] for b, n in zip(f.beta, names, strict=True)))  # noqa: B023, E731
-        linear = sum(r["exposure"] * rate(r) for r in data.design(f.rules).collect())
-        hit = data.targets.withColumnRenamed("t", "row").join(data.active(f.rules), ["e", "row"], "left").join(data.entities.select("e", "stratum"), "e").withColumn("cell", P.cell(data.bins)).fillna(0.0, names)
-        columns.append((linear, {(r["e"], r["row"]): (rate(r), r["mult"]) for r in hit.collect()}))
-    keys = sorted(columns[0][1])
-    return I.simplex_mixture(np.array([[c[1][k][0] for c in columns] for k in keys]), np.array([c[0] for c in columns]), np.array([columns[0][1][k][1] for k in keys], dtype=float))
+    """Convex weights of frozen models (the baseline first), from sufficient statistics.
+
+    These are each model's total over its design, and how many targets there are for each distinct vector of rates. A
+    vector stands for a cell and the values of the rules, so there are as many as rows of a common design; up to
+    500,000 are brought to the driver, more are summed by one pass a round, by the same steps.
+    """
+    cells = sorted({c for f in (base, *fits) for c in f.cells})
+    schema = ["stratum int", "cell int", *[f"b{k} double" for k in range(len(fits) + 1)]]
+    table = F.broadcast(data.entities.sparkSession.createDataFrame([(*c, *[f.cells.get(c, -20.0) for f in (base, *fits)]) for c in cells], ", ".join(schema)))  # one row per cell
+    rows = data.targets.withColumnRenamed("t", "row").join(data.entities.select("e", "stratum"), "e").withColumn("cell", P.cell(data.bins)).join(table, ["stratum", "cell"])
+    linear = []
+    for k, f in enumerate((base, *fits)):
+        names = [f"x{j}" for j in range(len(f.rules))]
+        eta = sum((float(w) * F.col(c) for w, c in zip(f.beta, names, strict=True)), F.col(f"b{k}"))
+        linear.append(float(data.design(f.rules).join(table, ["stratum", "cell"]).agg(F.sum(F.col("exposure") * F.exp(eta))).first()[0] or 0.0))
+        if f.rules:
+            rows = rows.join(data.active(f.rules), ["e", "row"], "left").fillna(0.0, names)
+        rows = rows.withColumn(f"r{k}", F.exp(eta)).drop(*names)
+    rates = [f"r{k}" for k in range(len(linear))]
+    seen = rows.groupBy(*rates).agg(F.sum("mult").alias("n")).persist()
+    got = seen.limit(COLLECTED + 1).collect()
+    if len(got) <= COLLECTED:
+        seen.unpersist()
+        columns, counts = np.array([[r[c] for c in rates] for r in got], dtype=float).reshape(len(got), len(rates)), np.array([r["n"] for r in got], dtype=float)
+        return I.simplex_mixture(columns, np.array(linear), counts)
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray]:
+        rate = F.greatest(F.lit(1e-300), sum((float(v) * F.col(c) for v, c in zip(w, rates, strict=True)), F.lit(0.0)))
+        out = seen.agg(F.sum(F.col("n") * F.log(rate)).alias("l"), *[F.sum(F.col("n") * F.col(c) / rate).alias(c) for c in rates]).first()
+        return out["l"], np.array([out[c] for c in rates])
+
+    weights = I.simplex_ascent(sums, np.array(linear))
+    seen.unpersist()
+    return weights
 
 
 #: When Hawkes fits stop, whichever way the rows are held: rounds at most, and the largest relative gradient.

@@ -607,7 +607,7 @@ def classification_metrics(spark, d):
 
 @query(_PROB + " SELECT y, p, rank() OVER (PARTITION BY y ORDER BY p) + (count(*) OVER (PARTITION BY y, p) - 1) / 2.0::DOUBLE AS r FROM j")
 def average_ranks(spark, d):
-    return _scores(spark, d).select("y", "p", R.average_rank("p", ["y"]).alias("r"))
+    return R.average_ranks(_scores(spark, d), "p", "r", ["y"]).select("y", "p", "r")
 
 
 @query("SELECT o_orderpriority AS env, count(*) AS n, round(avg(o_totalprice), 2) AS mean, round(stddev_samp(o_totalprice), 2) AS deviation FROM orders GROUP BY ALL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -352,3 +353,72 @@ def test_search_prices_pairs_that_pay_only_jointly(monkeypatch):
     data = type("D", (), {"entities": type("E", (), {"count": lambda self: 50})()})()
     records = L.search(data, [a, b, c], 2)
     assert records[0].support == (a, b) and (c,) in [r.support for r in records] and all(r.score > 0 for r in records)
+
+
+def test_fit_by_cells_agrees_with_the_driver(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(s), int(c), float(x), float(y), 50, int(rng.poisson(50 * np.exp(-2 + 0.3 * s - 0.2 * c + 0.5 * x)))) for s in (0, 1) for c in (0, 1, 2) for x in (0, 0.5, 1) for y in (0, -1)]
+    cells, base, beta, nll, ok = L.fit_by_cells(spark.createDataFrame(rows, "stratum int, cell int, x0 double, x1 double, exposure bigint, events bigint"), ["x0", "x1"], ("stratum", "cell"))
+    a = np.array(rows, dtype=float)
+    want = L.newton(a[:, 2:4], (a[:, 0] * 3 + a[:, 1]).astype(int), a[:, 4], a[:, 5])
+    assert ok and cells == [(s, c) for s in (0, 1) for c in (0, 1, 2)]
+    assert base == pytest.approx(want[0], abs=1e-6) and beta == pytest.approx(want[1], abs=1e-6) and nll == pytest.approx(want[2])
+
+
+def test_tests_by_moments_agree_with_influences():
+    x = np.random.default_rng(3).gamma(2.0, size=400) - 1.2
+    least, influence = I.robust_influence(x)
+    got = I.robust_test(x)
+    assert got.mean == pytest.approx(least) and got.statistic == pytest.approx(least / (influence.std(ddof=1) / 20))
+    assert I.mean_test(x).statistic == pytest.approx(x.mean() / (x.std(ddof=1) / 20))
+    assert I.mean_test(np.array([])).pvalue == I.robust_test(np.array([1.0, 1.0, 1.0])).pvalue == 1.0
+
+
+def _planted(spark, entities=60):
+    ent = [(e, 0, 30, 0, 1) for e in range(entities)]
+    ev = [r for e in range(entities) if e % 3 for r in [(e, 1 + e % 7, 0, 10 * e), (e, 3 + e % 7, 1, 10 * e + 1)]]
+    tg = [(e, 4 + e % 7, 1) for e in range(entities) if e % 3 and e % 5] + [(e, 25, 2) for e in range(entities) if e % 11 == 0]
+    return L.Data(spark.createDataFrame(ev, "e bigint, t bigint, p int, id bigint"), spark.createDataFrame(tg, "e bigint, t bigint, mult bigint"), spark.createDataFrame(ent, "e bigint, start bigint, end bigint, stratum int, part int"), lag=2)
+
+
+def test_certificates_and_mixture_against_whole_vectors(spark, monkeypatch):
+    """Moments and passes in Spark give what the entities' gains and the target rows give on the driver."""
+    x = _planted(spark)
+    base = L.fit(x, ())
+    fits = [L.fit(x, (r,)) for r in (L.Rule((0, 1), "ordered", 4), L.Rule((0,), "atomic", 0))]
+    got = L.certify(x, base, [L.Record(f.rules, f, 0.0, 0.0) for f in fits], resamples=500)
+    for f, c in zip(fits, got, strict=True):
+        rows = L.entity_gains(x, base, f).collect()
+        gain, score = (np.array([r[n] for r in rows]) for n in ("gain", "score"))
+        assert len(rows) == 60
+        assert (c.f1, c.f2, c.f3_lower) == pytest.approx((I.mean_test(score).pvalue, I.mean_test(gain).pvalue, I.robust_test(gain).lower))
+    assert L.certify(x, base, []) == []
+    near = L.mixture(x, base, fits)
+    hit = {f.rules: {(r["e"], r["row"]): r["x0"] for r in x.active(f.rules).collect()} for f in fits}
+    targets = [(r["e"], r["t"], r["mult"]) for r in x.targets.collect()]
+    columns = np.array([[np.exp(base.cells[0, 0]), *[np.exp(f.cells[0, 0] + f.beta[0] * hit[f.rules].get((e, t), 0.0)) for f in fits]] for e, t, _ in targets])
+    linear = [60 * 31 * np.exp(base.cells[0, 0])] + [np.exp(f.cells[0, 0]) * (60 * 31 + sum(np.expm1(f.beta[0] * v) for v in hit[f.rules].values())) for f in fits]
+    assert near == pytest.approx(I.simplex_mixture(columns, np.array(linear), np.array([m for _, _, m in targets], dtype=float)), abs=1e-6)
+    monkeypatch.setattr(L, "COLLECTED", 1)
+    ascent = I.simplex_ascent
+    monkeypatch.setattr(I, "simplex_ascent", lambda sums, linear, rounds=500: ascent(sums, linear, 3))
+    few = L.mixture(x, base, fits)
+    assert few == pytest.approx(I.simplex_mixture(columns, np.array(linear), np.array([m for _, _, m in targets], dtype=float), 3), abs=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "string", "date"])
+def test_running_sums_by_ranges(spark, kind):
+    """Any order type, null keys and values, a hot key; and an empty table."""
+    from eventide.operators.ranks import running
+
+    values = [None, *range(-20, 60)]
+    text = {"bigint": str, "double": lambda v: str(v / 7), "string": lambda v: f"k{v + 100}", "date": lambda v: f"2020-{1 + (v + 20) // 28:02d}-{1 + (v + 20) % 28:02d}"}[kind]
+    rows = [(k, None if v is None else text(v), 1 + i % 4) for k in ("hot", "b", None) for i, v in enumerate(values) if k == "hot" or i % 9 == 0]
+    df = spark.createDataFrame(rows, "k string, v string, w bigint").withColumn("v", F.col("v").cast(kind))
+    got = Counter((r["k"], str(r["v"]), r["w"], r["before"], r["whole"]) for r in running(df, ["v"], "w", "before", "whole", ["k"]).collect())
+    held = df.collect()
+    least = lambda r: (r["v"] is not None, r["v"] if r["v"] is not None else 0)
+    same = lambda r: [x for x in held if x["k"] == r["k"]]
+    want = Counter((r["k"], str(r["v"]), r["w"], sum(x["w"] for x in same(r) if least(x) < least(r)), sum(x["w"] for x in same(r))) for r in held)
+    assert got == want
+    assert running(df.where("1 = 0"), ["v"], "w", "before", "whole").count() == 0
