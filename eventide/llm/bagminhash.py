@@ -20,8 +20,8 @@ make clusters. Then nothing is left out:
 * inside a cluster, each text outside the cluster's largest class meets all texts of other classes. Texts meet in
   blocks of bounded size within a task, which compares signatures, then whole multisets, and returns one link for
   each text and class, so no pairs are written out;
-* texts of different clusters that share a bucket are compared by signature, in blocks too, and the few pairs that
-  pass are verified.
+* a bucket's texts outside its commonest cluster meet all texts of the bucket, in blocks too, but by signature alone,
+  and the few pairs that pass are verified.
 
 So no link between different texts is lost and no group of copies is expanded into pairs. Classes are connected
 components of verified links, found by alternating large and small stars.
@@ -50,7 +50,8 @@ SLOTS = BANDS * ROWS
 MIN_AGREE = 82
 #: Pairs with leaders that are verified first, for each text.
 LEADERS = 2
-BUCKET_BLOCK = 1024
+#: Texts of a bucket that meet in one group: at most about so many members and so many visitors.
+BUCKET_BLOCK = 512
 #: Texts of a cluster meet in blocks of about so many bytes of multisets and so many texts.
 CLUSTER_BYTES, CLUSTER_TEXTS = 8 << 20, 1024
 PIECE_ROWS = 1024
@@ -201,15 +202,13 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _cross(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs of different clusters and classes of two blocks of one bucket that signatures let through."""
-    first, second = key[1].as_py(), key[2].as_py()
-    block, rid, cls, cluster, slots = _unpack(table, "block", "rid", "cls", "cluster")
-    left, right, out = np.flatnonzero(block == first), np.flatnonzero(block == second), []
-    for i in left.tolist():
-        other = right[(cluster[right] != cluster[i]) & (cls[right] != cls[i])]
-        for j in other[(slots[other] == slots[i]).sum(1) >= MIN_AGREE].tolist():
-            if first != second or rid[j] > rid[i]:
-                out.append((min(rid[i], rid[j]), max(rid[i], rid[j])))
+    """Pairs of different clusters and classes that signatures let through: visitors of a bucket's block with members there."""
+    rid, cls, cluster, minor, visits, slots = _unpack(table, "rid", "cls", "cluster", "minor", "visits")
+    members, out = np.flatnonzero(visits == 0), []
+    for v in np.flatnonzero(visits == 1).tolist():
+        # two visitors of one bucket also meet the other way round
+        other = members[(cluster[members] != cluster[v]) & (cls[members] != cls[v]) & ((minor[members] == 0) | (rid[members] > rid[v]))]
+        out += [(min(rid[v], r), max(rid[v], r)) for r in rid[other[(slots[other] == slots[v]).sum(1) >= MIN_AGREE]].tolist()]
     return _links(out)
 
 
@@ -294,16 +293,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     visitors = there.where("cls != largest").withColumn("room", of("rooms")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(1)).select(*columns)
     inside = staged(members.unionAll(visitors).groupBy("cluster", "block", "room").applyInArrow(_meet, "a bigint, b bigint"), "inside_links")
 
-    # texts of different clusters that share a bucket
-    seen = shared.select("bucket", "rid", "size").join(placed.select("rid", "cluster", "cls"), "rid", "left").withColumn("cluster", F.coalesce("cluster", "rid")).withColumn("cls", F.coalesce("cls", "rid"))
-    mixed = seen.groupBy("bucket").agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1")).where("c0 < c1").select("bucket")
-    blocked = (
-        seen.join(mixed, "bucket").join(sized.select("rid", "slots"), "rid")
-        .withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")).withColumn("block", of("blocks"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rid", "cls", "cluster", "slots")
+    # texts of different clusters that share a bucket: those outside its commonest cluster visit all of its texts
+    seen = shared.select("bucket", "rid").join(placed.select("rid", "cluster", "cls"), "rid", "left").withColumn("cluster", F.coalesce("cluster", "rid")).withColumn("cls", F.coalesce("cls", "rid"))
+    parts = lambda c: F.ceil(F.col(c) / BUCKET_BLOCK).cast("int")
+    mixed = (
+        seen.groupBy("bucket", "cluster").agg(F.count("*").alias("m")).groupBy("bucket")
+        .agg(F.sum("m").alias("size"), F.max(F.struct("m", "cluster")).alias("most")).where("size > most.m")
+        .withColumn("rest", F.col("size") - F.col("most.m")).select("bucket", F.col("most.cluster").alias("common"), parts("size").alias("blocks"), parts("rest").alias("rooms"))
     )
-    cross = blocked.groupBy("bucket", "first", "second").applyInArrow(_cross, "a bigint, b bigint").distinct()
+    met = seen.join(mixed, "bucket").join(sized.select("rid", "slots"), "rid").withColumn("minor", (F.col("cluster") != F.col("common")).cast("int"))
+    columns = ["bucket", "block", "room", "rid", "cls", "cluster", "minor", "slots", "visits"]
+    members = met.withColumn("block", of("blocks")).withColumn("room", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1))).withColumn("visits", F.lit(0)).select(*columns)
+    visitors = met.where("minor = 1").withColumn("room", of("rooms")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(1)).select(*columns)
+    cross = members.unionAll(visitors).groupBy("bucket", "block", "room").applyInArrow(_cross, "a bigint, b bigint").distinct()
     cross = staged(cross, "cross_pairs")
     if cross.head(1):
         links = links.unionAll(verified(cross, multisets(ends(cross, "a", "b"), "cross_elements"), "cross_links"))
