@@ -32,6 +32,15 @@ def kernel_response(matches: DataFrame, entities: DataFrame, window: int, lag: i
     return rows.groupBy("e", "row").agg(*values)
 
 
+def responses(matches: DataFrame, rules: DataFrame, entities: DataFrame, lag: int) -> DataFrame:
+    """e, row, k, x of many rules at once: kernel_response() with one bump for each row (s, window, k) of rules.
+
+    matches carry s, the number of their pattern; rules, one row for each rule of a dictionary, are broadcast.
+    """
+    admitted = matches.join(F.broadcast(rules), "s").where(F.col("span") <= F.col("window"))
+    return _future(admitted, entities, lag).groupBy("e", "row", "k").agg(F.round(F.count("*") / F.lit(float(lag)), 9).alias("x"))
+
+
 def footprint(matches: DataFrame, entities: DataFrame, horizon: int) -> DataFrame:
     return _future(matches, entities, horizon).select("e", "row").distinct()
 

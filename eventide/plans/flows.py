@@ -38,7 +38,7 @@ def rule_fit(spark, d) -> DataFrame:
 def _searched(spark, d):
     x = data(spark, d)
     fitting = x.only(0)
-    records = L.search(fitting, L.dictionary(range(3), (6, 24), 2, ("unordered",)), 2)
+    records = L.search(fitting, L.dictionary(range(len(C.PREDICATES)), (6, 24), 3), 2)
     return x, fitting, records
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -93,6 +94,7 @@ class Data:
     bins: int = 1
     responses: dict = field(default_factory=dict)
     arrays: dict = field(default_factory=dict)
+    optima: dict = field(default_factory=dict)
 
     def only(self, *parts: int) -> Data:
         keep = self.entities.where(F.col("part").isin(*parts))
@@ -110,6 +112,73 @@ class Data:
             df.unpersist()
         self.responses.clear()
 
+    def prepare(self, rules: Sequence[Rule], pairs: bool = True) -> None:
+        """Designs of all rules, and of all pairs of different patterns, from one pass over the rows that any rule reaches.
+
+        Counted are each rule's rows by value, and the rows that two rules reach together by both values; what only one
+        of them reaches, and what neither does, are differences. Where there are more counts than the driver takes,
+        fit() makes the designs one by one.
+        """
+        base = _arrays(self.design(()), 0)
+        if base is None:
+            return
+        shapes = list(dict.fromkeys((r.pattern, r.relation) for r in rules))
+        listed = self.entities.sparkSession.createDataFrame([(shapes.index((r.pattern, r.relation)), r.window, k) for k, r in enumerate(rules)], "s int, window int, k int")
+        found = reduce(DataFrame.unionByName, [M.completions(self.events, *shape).select("e", "t", "span", F.lit(i).alias("s")) for i, shape in enumerate(shapes)])
+        rows = P.responses(found, listed, self.entities, self.lag).groupBy("e", "row").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("by"))  # at most one entry a rule
+        rows = P.with_targets(rows, self.targets).join(self.entities.select("e", "stratum"), "e").withColumn("cell", P.cell(self.bins)).persist()
+        counted = lambda df, *by: df.groupBy(*by, "stratum", "cell").agg(F.count("*").alias("exposure"), F.sum("n").alias("events")).limit(COLLECTED + 1).collect()
+        single = counted(rows.select("stratum", "cell", "n", F.inline("by")), "k", "x")
+        joint = "flatten(transform(by, (a, i) -> transform(slice(by, i + 2, size(by)), b -> struct(a.k AS k, a.x AS x, b.k AS l, b.x AS y))))"
+        double = counted(rows.select("stratum", "cell", "n", F.inline(F.expr(joint))), "k", "l", "x", "y") if pairs else []
+        rows.unpersist()
+        if max(len(single), len(double)) > COLLECTED:
+            return
+        _, cells, cell, exposure, events = base
+        at = {c: i for i, c in enumerate(cells)}
+        whole = {(i, ()): np.array([exposure[cell == i].sum(), events[cell == i].sum()]) for i in range(len(cells))}
+        alone, both = defaultdict(dict), defaultdict(dict)
+        for r in single:
+            alone[r["k"]][at[(r["stratum"], r["cell"])], r["x"]] = np.array([r["exposure"], r["events"]], dtype=float)
+        for r in double:
+            both[r["k"], r["l"]][at[(r["stratum"], r["cell"])], r["x"], r["y"]] = np.array([r["exposure"], r["events"]], dtype=float)
+
+        def stored(plain: Support, counts: dict) -> None:
+            left = {(c, *[0.0] * len(plain)): v.copy() for (c, _), v in whole.items()}
+            for key, v in counts.items():
+                left[(key[0], *[0.0] * len(plain))] -= v
+            kept = [(key, v) for key, v in (*counts.items(), *left.items()) if v[0] > 0]
+            keys, sums = np.array([key for key, _ in kept], dtype=float), np.array([v for _, v in kept])
+            self.arrays[plain] = (keys[:, 1:], cells, keys[:, 0].astype(int), sums[:, 0], sums[:, 1])
+
+        for k, r in enumerate(rules):
+            stored((r,), alone[k])
+        for k, l in combinations(range(len(rules)), 2) if pairs else ():
+            if rules[k].pattern != rules[l].pattern:
+                counts = dict(both[k, l])
+                first, second = ({(c, x): v.copy() for (c, x), v in alone[i].items()} for i in (k, l))
+                for (c, x, y), v in counts.items():
+                    first[c, x] -= v
+                    second[c, y] -= v
+                counts |= {(c, x, 0.0): v for (c, x), v in first.items()} | {(c, 0.0, y): v for (c, y), v in second.items()}
+                plain = (rules[k], rules[l])
+                if rules[k] > rules[l]:
+                    plain, counts = plain[::-1], {(c, y, x): v for (c, x, y), v in counts.items()}
+                stored(plain, counts)
+
+    def outside(self, support: Support) -> bool:
+        """Whether the best coefficients free in sign have other signs than the support's.
+
+        The loss is convex, so the support's own optimum then has a coefficient at 0, and this one need not be fitted. False where the design is not on the driver.
+        """
+        plain = tuple(Rule(r.pattern, r.relation, r.window) for r in support)
+        if plain not in self.optima:
+            known = self.arrays.get(plain)
+            got = newton(*known[:1], *known[2:], signed=False) if known else None
+            self.optima[plain] = got[1] if got and got[3] else None
+        best = self.optima[plain]
+        return best is not None and any(b * r.sign < 0 for b, r in zip(best, support, strict=True))
+
     def active(self, rules: Sequence[Rule]) -> DataFrame:
         """e, row and one signed column per rule; rows that no rule reaches are not listed."""
         out = None
@@ -175,8 +244,8 @@ def _start(events: np.ndarray, exposure: np.ndarray, k: int) -> tuple[np.ndarray
     return np.concatenate([np.log((events + 0.5) / (exposure + 1.0)), np.zeros(k)]), np.concatenate([np.ones(m, bool), np.zeros(k, bool)])
 
 
-def newton(x: np.ndarray, cell: np.ndarray, exposure: np.ndarray, events: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float, bool]:
-    """Poisson likelihood, free baselines per cell, rule coefficients at least 0."""
+def newton(x: np.ndarray, cell: np.ndarray, exposure: np.ndarray, events: np.ndarray, rounds: int = 100, signed: bool = True) -> tuple[np.ndarray, np.ndarray, float, bool]:
+    """Poisson likelihood, free baselines per cell, rule coefficients at least 0 (or, where signed is False, of any sign)."""
     m, k = int(cell.max()) + 1, x.shape[1]
     theta, free = _start(np.bincount(cell, events, m), np.bincount(cell, exposure, m), k)
     d = np.column_stack([np.eye(m)[cell], x])
@@ -186,7 +255,7 @@ def newton(x: np.ndarray, cell: np.ndarray, exposure: np.ndarray, events: np.nda
         rate = exposure * np.exp(eta)
         return float(rate.sum() - events @ eta), d.T @ (rate - events), (d * rate[:, None]).T @ d
 
-    theta, loss, ok = _projected(at, theta, free, events.sum(), rounds)
+    theta, loss, ok = _projected(at, theta, free | (not signed), events.sum(), rounds)
     return theta[:m], theta[m:], loss, ok
 
 
@@ -268,6 +337,7 @@ def dictionary(predicates: Sequence[int], windows: Sequence[int], q_max: int = 2
 def search(data: Data, rules: Sequence[Rule], max_rules: int = 2, tolerance: float = 1e-6) -> list[Record]:
     """Forward additions of any identity with drops, from every identity, so a pair may pay only jointly; refitted exactly.
 
+    The designs of all identities and pairs come from one pass (Data.prepare); larger supports have one of their own.
     Supports that do not pay are left out; where none pays, the best start's stays.
     """
     skeletons = len({(r.pattern, r.relation) for r in rules})
@@ -278,16 +348,17 @@ def search(data: Data, rules: Sequence[Rule], max_rules: int = 2, tolerance: flo
 
     def price(s: Support) -> Record:
         if s not in known:
-            f = fit(data, s)
             c = penalty(s, skeletons, windows, n)
+            if data.outside(s):  # one coefficient is 0, so the best support with one rule less has this one's loss
+                less = min((price(tuple(r for r in s if r != d)) for d in s), key=lambda x: x.fit.nll)
+                beta = np.array([dict(zip(less.support, less.fit.beta.tolist(), strict=True)).get(r, 0.0) for r in s])
+                f = Fit(s, less.fit.cells, beta, less.fit.nll, less.fit.converged)
+            else:
+                f = fit(data, s)
             known[s] = Record(s, f, c, 2 * (base.nll - f.nll) - c if f.converged else -math.inf)
         return known[s]
 
-    plain = [r for r in rules if r.sign > 0] + [r for r in rules if r.sign < 0 and Rule(r.pattern, r.relation, r.window) not in set(rules)]
-    with ThreadPool(4) as pool:  # independent small jobs; Spark runs them side by side
-        pool.map(lambda r: fit(data, (r,)), plain)
-        if max_rules > 1:
-            pool.map(lambda s: fit(data, tuple(sorted(s))), [s for s in combinations(plain, 2) if s[0].pattern != s[1].pattern])
+    data.prepare(list(dict.fromkeys(Rule(r.pattern, r.relation, r.window) for r in rules)), max_rules > 1)
     singles = sorted((price((r,)) for r in rules), key=lambda x: (-x.score, x.support))
     best: dict[Support, Record] = {}
     for start in singles:

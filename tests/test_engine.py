@@ -350,7 +350,7 @@ def test_search_prices_pairs_that_pay_only_jointly(monkeypatch):
     a, b, c = (L.Rule((p,), "atomic", 0) for p in range(3))
     gain = {(): 0.0, (a,): 0.5, (b,): 0.5, (c,): 12.0, (a, b): 60.0, (a, c): 12.5, (b, c): 12.5}
     monkeypatch.setattr(L, "fit", lambda data, s: L.Fit(s, {}, np.zeros(len(s)), 100.0 - gain[s], True))
-    data = type("D", (), {"entities": type("E", (), {"count": lambda self: 50})()})()
+    data = type("D", (), {"entities": type("E", (), {"count": lambda self: 50})(), "prepare": lambda self, *a: None, "outside": lambda self, s: False})()
     records = L.search(data, [a, b, c], 2)
     assert records[0].support == (a, b) and (c,) in [r.support for r in records] and all(r.score > 0 for r in records)
 
@@ -422,3 +422,37 @@ def test_running_sums_by_ranges(spark, kind):
     want = Counter((r["k"], str(r["v"]), r["w"], sum(x["w"] for x in same(r) if least(x) < least(r)), sum(x["w"] for x in same(r))) for r in held)
     assert got == want
     assert running(df.where("1 = 0"), ["v"], "w", "before", "whole").count() == 0
+
+
+def test_prepared_designs_equal_designs_of_their_own(spark):
+    """Every single and pair from one pass, against the design that each makes alone."""
+    rng = np.random.default_rng(12)
+    ev = [(e, int(t), int(p), 1000 * e + i) for e in range(8) for i, (t, p) in enumerate(zip(rng.integers(0, 40, 25), rng.integers(0, 3, 25), strict=True))]
+    tg = [(e, t, 1 + t % 2) for e in range(8) for t in range(3 + e % 4, 40, 7)]
+    ent = [(e, e % 3, 41 - e, e % 2, 0) for e in range(8)]
+    x = L.Data(spark.createDataFrame(ev, "e bigint, t bigint, p int, id bigint"), spark.createDataFrame(tg, "e bigint, t bigint, mult bigint").where("t >= 3"), spark.createDataFrame(ent, "e bigint, start bigint, end bigint, stratum int, part int"), lag=3)
+    rules = [L.Rule((2,), "atomic", 0), L.Rule((0, 1), "unordered", 4), L.Rule((0, 1), "ordered", 9), L.Rule((1, 0, 2), "ordered", 12), L.Rule((0, 1), "unordered", 9)]
+    x.prepare(rules)
+    table = lambda a: sorted((*map(float, v), a[1][c], float(n), float(m)) for v, c, n, m in zip(a[0], a[2], a[3], a[4], strict=True))
+    assert len(x.arrays) == 5 + 7
+    for plain, got in x.arrays.items():
+        assert table(got) == table(L._arrays(x.design(plain), len(plain))), plain
+
+
+def test_search_without_fits_outside_finds_the_same(spark, monkeypatch):
+    """Supports whose optimum has other signs are skipped; what is found equals a search that fits them all."""
+    rng = np.random.default_rng(5)
+    ev, tg = [], {}
+    for e in range(40):
+        ticks = [[int(t) for t in np.unique(rng.integers(0, 60, 12))] for _ in range(3)]
+        ev += [(e, t, p, 1000 * e + 100 * p + t) for p in range(3) for t in ticks[p]]
+        for t in range(2, 60):
+            if rng.random() < 0.04 + 0.5 * (t - 1 in ticks[0] and t - 1 not in ticks[1]):
+                tg[e, t] = 1
+    ent = [(e, 0, 60, e % 2, 0) for e in range(40)]
+    x = L.Data(spark.createDataFrame(ev, "e bigint, t bigint, p int, id bigint"), spark.createDataFrame([(*k, v) for k, v in tg.items()], "e bigint, t bigint, mult bigint"), spark.createDataFrame(ent, "e bigint, start bigint, end bigint, stratum int, part int"), lag=1)
+    rules = L.dictionary(range(3), (0, 5), 2)
+    seen = lambda records: [(L.support_key(r.support), round(r.score, 6)) for r in records]
+    quick = seen(L.search(x, rules, 2))
+    monkeypatch.setattr(L.Data, "outside", lambda self, support: False)
+    assert quick == seen(L.search(x, rules, 2)) and len(quick[0][0].split(";")) == 2 and "0|W0|exc" in quick[0][0]
