@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -288,10 +288,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     plan = plan.select("cluster", "largest", size(F.col("words"), F.col("texts")).alias("blocks"), size(F.col("words") - F.col("most.words"), F.col("texts") - F.col("most.m")).alias("rooms"))
     there = placed.join(plan, "cluster").join(sets, "rid")
     of = lambda c: F.pmod(F.xxhash64("rid"), F.col(c)).cast("int")
-    columns = ["cluster", "block", "room", "rid", "cls", "n", "slots", "elements", "visits"]
-    members = there.withColumn("block", of("blocks")).withColumn("room", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1))).withColumn("visits", F.lit(0)).select(*columns)
-    visitors = there.where("cls != largest").withColumn("room", of("rooms")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(1)).select(*columns)
-    inside = staged(members.unionAll(visitors).groupBy("cluster", "block", "room").applyInArrow(_meet, "a bigint, b bigint"), "inside_links")
+
+    def seated(df: DataFrame, visitor: Column) -> DataFrame:
+        """Each row once for every room of its block, and visitors once more for every block of their room."""
+        here = F.expr("transform(sequence(0, rooms - 1), x -> struct(block, x AS room, 0 AS visits))")
+        there = F.expr("transform(sequence(0, blocks - 1), x -> struct(x AS block, room, 1 AS visits))")
+        placed = df.withColumn("block", of("blocks")).withColumn("room", of("rooms")).withColumn("seat", F.explode(F.when(visitor, F.concat(here, there)).otherwise(here)))
+        return placed.drop("block", "room", "blocks", "rooms").select("*", "seat.*").drop("seat")
+
+    inside = staged(seated(there, F.col("cls") != F.col("largest")).drop("largest").groupBy("cluster", "block", "room").applyInArrow(_meet, "a bigint, b bigint"), "inside_links")
 
     # texts of different clusters that share a bucket: those outside its commonest cluster visit all of its texts
     seen = shared.select("bucket", "rid").join(placed.select("rid", "cluster", "cls"), "rid", "left").withColumn("cluster", F.coalesce("cluster", "rid")).withColumn("cls", F.coalesce("cls", "rid"))
@@ -302,10 +307,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .withColumn("rest", F.col("size") - F.col("most.m")).select("bucket", F.col("most.cluster").alias("common"), parts("size").alias("blocks"), parts("rest").alias("rooms"))
     )
     met = seen.join(mixed, "bucket").join(sized.select("rid", "slots"), "rid").withColumn("minor", (F.col("cluster") != F.col("common")).cast("int"))
-    columns = ["bucket", "block", "room", "rid", "cls", "cluster", "minor", "slots", "visits"]
-    members = met.withColumn("block", of("blocks")).withColumn("room", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1))).withColumn("visits", F.lit(0)).select(*columns)
-    visitors = met.where("minor = 1").withColumn("room", of("rooms")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(1)).select(*columns)
-    cross = members.unionAll(visitors).groupBy("bucket", "block", "room").applyInArrow(_cross, "a bigint, b bigint").distinct()
+    cross = seated(met.drop("common"), F.col("minor") == 1).groupBy("bucket", "block", "room").applyInArrow(_cross, "a bigint, b bigint").distinct()
     cross = staged(cross, "cross_pairs")
     if cross.head(1):
         links = links.unionAll(verified(cross, multisets(ends(cross, "a", "b"), "cross_elements"), "cross_links"))
