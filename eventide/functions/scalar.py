@@ -56,7 +56,7 @@ def price_primitive_id(version: Column, reserve: Column, tick: Column) -> Column
 
 
 def dominance(bid: Column, ask: Column) -> Column:
-    return F.signum(bid - ask).cast("int")
+    return F.signum(F.nanvl(bid - ask, F.lit(0.0))).cast("int")
 
 
 def sigmoid(x: Column) -> Column:
@@ -101,8 +101,20 @@ def poisson_conjugate(dual: Column, exposure: Column, event: Column) -> Column:
     return F.when(u > 0, u * (F.log(u / exposure) - 1)).when(u == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
 
 
+def sql_round(x: Column, places: int) -> Column:
+    """round() of doubles as DuckDB has it: half away from zero in scaled arithmetic; zeros keep the sign of x."""
+    scaled = x * 10.0**places
+    near = F.rint(scaled)
+    out = F.when(F.abs(scaled - near) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(near) / 10.0**places
+    return F.when(F.isnan(out) | (F.abs(out) == float("inf")), x).otherwise(out)
+
+
+def score_of_fit(baseline_nll: Column, fit_nll: Column, penalty: Column) -> Column:
+    return 2 * (baseline_nll - fit_nll) - penalty
+
+
 def support_score(baseline_nll: Column, fit_nll: Column, penalty: Column) -> Column:
-    score = 2 * (baseline_nll - fit_nll) - penalty
+    score = score_of_fit(baseline_nll, fit_nll, penalty)
     return F.when(F.isnan(score) | F.isnull(score), F.lit(float("-inf"))).otherwise(score)
 
 

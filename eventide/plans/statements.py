@@ -321,12 +321,12 @@ def mdl_penalties(spark, d):
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN round(2 * (l_extendedprice - l_quantity / l_discount) - l_tax, 4) ELSE CAST('-inf' AS DOUBLE) END AS score, round(2 * l_discount - (l_quantity - l_tax), 6) AS delta,
  CAST(sign(l_quantity - 25) AS INTEGER) AS dominance, round(1 / (1 + exp(-(l_quantity - 25) / 5.0)), 6) AS p FROM lineitem""")
 def support_scores(spark, d):
-    """Score of a support (no finite fit gives minus infinity), block delta, dominance sign and logistic value."""
-    fit = F.when(F.col("l_discount") > 0, F.col("l_quantity") / F.when(F.col("l_discount") > 0, F.col("l_discount")))
-    score = S.support_score(F.col("l_extendedprice"), fit, F.col("l_tax"))
+    """Score of a support (no fit gives minus infinity; a fit with an unknown term an unknown score), block delta, dominance sign and logistic value."""
+    fitted = F.col("l_discount") > 0
+    score = S.score_of_fit(F.col("l_extendedprice"), F.col("l_quantity") / F.when(fitted, F.col("l_discount")), F.col("l_tax"))
     return C.table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.when(score == float("-inf"), score).otherwise(F.round(score, 4)).alias("score"), F.round(S.block_mdl_delta(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")), 6).alias("delta"),
-        S.dominance(F.col("l_quantity"), F.lit(25)).alias("dominance"), F.round(S.sigmoid((F.col("l_quantity") - 25) / 5.0), 6).alias("p"),
+        "l_orderkey", "l_linenumber", F.when(fitted, S.sql_round(score, 4)).otherwise(float("-inf")).alias("score"), S.sql_round(S.block_mdl_delta(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")), 6).alias("delta"),
+        S.dominance(F.col("l_quantity"), F.lit(25)).alias("dominance"), S.sql_round(S.sigmoid((F.col("l_quantity") - 25) / 5.0), 6).alias("p"),
     )
 
 

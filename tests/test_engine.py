@@ -7,6 +7,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -16,7 +17,8 @@ from eventide.functions import scalar as S
 from eventide.operators import folds, motifs, relational, response, signals, states
 from eventide.plans import inference as I
 from eventide.plans import model as L
-from eventide.plans.queries import QUERIES
+from eventide.plans import statements  # noqa: F401  it registers its queries
+from eventide.plans.queries import ORACLES, QUERIES
 from eventide.sources import datasets
 from eventide.streaming import live
 
@@ -456,3 +458,20 @@ def test_search_without_fits_outside_finds_the_same(spark, monkeypatch):
     quick = seen(L.search(x, rules, 2))
     monkeypatch.setattr(L.Data, "outside", lambda self, support: False)
     assert quick == seen(L.search(x, rules, 2)) and len(quick[0][0].split(";")) == 2 and "0|W0|exc" in quick[0][0]
+
+
+def test_support_scores_equal_their_sql_to_the_sign_of_zero(spark, tmp_path):
+    """Scores that cancel to less than nothing, unknown and infinite terms; values compare as they are written."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.0, 0.02, 0.02, 50.01), (1.0, 0.08, 0.02, 12.51), (3.0, 0.1, 0.0, 30.0), (7.0, 0.07, 0.04, 100.02), (25.0, 0.0, 0.0, 5.0), (0.04, 0.02, 0.0, 2.00000625), (-0.04, 0.02, 0.0, -2.00000625)]
+    odd = [None, nan, inf, -inf, 0.0, -0.0, -2.0, 1e-300, 1e18, 25.0]
+    rows += [tuple(v if i == j else 0.5 for i in range(4)) for j in range(4) for v in odd] + [(None,) * 4]
+    lines = [(k, 1, *r) for k, r in enumerate(rows)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    columns = ["l_orderkey", "l_linenumber", "score", "delta", "dominance", "p"]
+    want = sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['support_scores']})").fetchall())
+    got = sorted(map(tuple, QUERIES["support_scores"](spark, str(tmp_path)).select(*columns).collect()))
+    assert list(map(repr, got)) == list(map(repr, want))
+    assert repr(want[0][2]) == "-0.0"
