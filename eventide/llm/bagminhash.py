@@ -55,6 +55,8 @@ BUCKET_BLOCK = 512
 #: Texts of a cluster meet in blocks of about so many bytes of multisets and so many texts.
 CLUSTER_BYTES, CLUSTER_TEXTS = 8 << 20, 1024
 PIECE_ROWS = 1024
+#: Staged tables of numbers have a file for about so many texts or edges, however many partitions made them: files are launches.
+FILE_TEXTS, FILE_EDGES = 50_000, 250_000
 _LOW54 = _U((1 << 54) - 1)
 
 
@@ -230,14 +232,15 @@ def components(edges: DataFrame) -> DataFrame:
         return linked.where(F.col("v") != F.col("m")).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
     spark, made, before = edges.sparkSession, [], None
-    e = staged(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", made=made)
+    few = edges.count() // FILE_EDGES + 1
+    e = staged(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(few), "edges", made=made)
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if before == now:
             break
         before, old = now, list(made)
         made.clear()
-        e = staged(star(star(e, True), False), "edges", made=made)
+        e = staged(star(star(e, True), False).coalesce(now[0] // FILE_EDGES + 1), "edges", made=made)
         drop(spark, old)
     low = e.groupBy("b").agg(F.min("a").alias("a"))
     return low.select(F.col("b").alias("rid"), F.col("a").alias("cls")).unionAll(low.select("a").distinct().select(F.col("a").alias("rid"), F.col("a").alias("cls")))
@@ -247,13 +250,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, key, class_id, class_key of each row of docs(doc_id, text); a key is a text's MD5, a class is named by its first text."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     signed = staged(texts.select("doc_id", "key", "text").mapInArrow(_sign, "doc_id bigint, key binary, n bigint, bands array<bigint>, slots binary"), "signed")
+    few = signed.count() // FILE_TEXTS + 1
     reps = staged(
         signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
-        .select(F.monotonically_increasing_id().alias("rid"), "*"), "representatives",
+        .coalesce(2 * few).select(F.monotonically_increasing_id().alias("rid"), "*"), "representatives",
     )
     placed = reps.select("rid", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rid").alias("l1"), F.min(F.struct(F.xxhash64("rid"), "rid"))["rid"].alias("l2")).where("size > 1")
-    shared = staged(placed.join(shared, "bucket"), "buckets")
+    shared = staged(placed.join(shared, "bucket").repartition(2 * few), "buckets")
 
     sized = reps.select("rid", "n", "slots")
     stars = shared.select("rid", F.explode(F.array_distinct(F.array("l1", "l2"))).alias("leader")).where("rid != leader").distinct()
@@ -262,16 +266,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         stars.join(sized.toDF("rid", "n_x", "slots_x"), "rid").join(sized.toDF("leader", "n_y", "slots_y"), "leader")
         .where(fits).select("rid", "leader", "slots_x", "slots_y").mapInArrow(_agree, "rid bigint, leader bigint, agree int")
     )
-    near = staged(near, "star_pairs")
+    near = staged(near.repartition(few), "star_pairs")
 
     def multisets(wanted: DataFrame, name: str) -> DataFrame:
         keyed = wanted.join(reps.select("rid", "key", F.col("doc_id").alias("own")), "rid")
         found = texts.join(keyed, (F.col("doc_id").eqNullSafe(F.col("own"))) & (texts["key"] == keyed["key"])).select("rid", "text")
-        return staged(found.mapInArrow(_expand, "rid bigint, elements binary").dropDuplicates(["rid"]), name, "uncompressed")
+        return staged(found.mapInArrow(_expand, "rid bigint, elements binary").dropDuplicates(["rid"]).coalesce(8 * few), name, "uncompressed")
 
     def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         both = pairs.join(sets.toDF("b", "eb"), "b").join(sets.toDF("a", "ea"), "a")
-        return staged(both.select("a", "b", "ea", "eb").mapInArrow(_overlap, "a bigint, b bigint"), name)
+        return staged(both.select("a", "b", "ea", "eb").mapInArrow(_overlap, "a bigint, b bigint").repartition(few), name)
 
     ends = lambda df, a, b: df.select(F.col(a).alias("rid")).unionAll(df.select(F.col(b).alias("rid"))).distinct()
     sets = multisets(ends(near, "rid", "leader"), "elements")
@@ -279,7 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = verified(best.select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct(), sets, "star_links")
     clusters = components(near.select(F.col("rid").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("cls", "cluster")
     placed = clusters.join(components(links), "rid", "left").withColumn("cls", F.coalesce("cls", "rid"))
-    placed = staged(placed.join(sized, "rid"), "placed")
+    placed = staged(placed.join(sized, "rid").repartition(few), "placed")
 
     # inside clusters of several classes: all texts by blocks, and the texts outside the largest class as visitors
     by_class = placed.groupBy("cluster", "cls").agg(F.count("*").alias("m"), F.sum("n").alias("words"))
@@ -296,7 +300,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         placed = df.withColumn("block", of("blocks")).withColumn("room", of("rooms")).withColumn("seat", F.explode(F.when(visitor, F.concat(here, there)).otherwise(here)))
         return placed.drop("block", "room", "blocks", "rooms").select("*", "seat.*").drop("seat")
 
-    inside = staged(seated(there, F.col("cls") != F.col("largest")).drop("largest").groupBy("cluster", "block", "room").applyInArrow(_meet, "a bigint, b bigint"), "inside_links")
+    inside = staged(seated(there, F.col("cls") != F.col("largest")).drop("largest").groupBy("cluster", "block", "room").applyInArrow(_meet, "a bigint, b bigint").repartition(few), "inside_links")
 
     # texts of different clusters that share a bucket: those outside its commonest cluster visit all of its texts
     seen = shared.select("bucket", "rid").join(placed.select("rid", "cluster", "cls"), "rid", "left").withColumn("cluster", F.coalesce("cluster", "rid")).withColumn("cls", F.coalesce("cls", "rid"))
@@ -308,7 +312,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     met = seen.join(mixed, "bucket").join(sized.select("rid", "slots"), "rid").withColumn("minor", (F.col("cluster") != F.col("common")).cast("int"))
     cross = seated(met.drop("common"), F.col("minor") == 1).groupBy("bucket", "block", "room").applyInArrow(_cross, "a bigint, b bigint").distinct()
-    cross = staged(cross, "cross_pairs")
+    cross = staged(cross.coalesce(few), "cross_pairs")
     if cross.head(1):
         links = links.unionAll(verified(cross, multisets(ends(cross, "a", "b"), "cross_elements"), "cross_links"))
     classes = components(links.unionAll(inside))
@@ -326,7 +330,7 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, columns: list[str]) -> DataFrame:
     """One document of each class stays: the one with the smallest doc_id; of its repeated rows, one."""
     own, key, name = (free(n, columns) for n in ("own_key", "class_key", "class_id"))
-    kept = near_duplicates(docs).select(F.col("class_id").alias(name), F.col("class_key").alias(key)).distinct()
+    kept = near_duplicates(docs).select(F.col("class_id").alias(name), F.col("class_key").alias(key)).distinct().coalesce(docs.count() // FILE_TEXTS + 1)
     keyed = docs.select(*columns, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias(own))
     there = keyed.join(staged(kept, "kept"), (F.col(own) == F.col(key)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(name)), "left_semi")
     return there.dropDuplicates([own, "doc_id"]).select(*columns)

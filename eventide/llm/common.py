@@ -49,6 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+#: For every file in a local folder Hadoop launches chmod three times: for the file, for its checksum and for the folder of the attempt.
+#: A process that is just being launched shares the memory of the executor, which is then seen at twice its size, and each
+#: launch takes time. Staged tables do without checksums and success markers: two launches a file are left.
+PLAIN_FILES = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+}
+
+
 def staged(df: DataFrame, name: str, codec: str = "zstd", made: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here.
 
@@ -57,7 +66,7 @@ def staged(df: DataFrame, name: str, codec: str = "zstd", made: list[str] | None
     """
     small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(**PLAIN_FILES).option("compression", codec).parquet(path)
     if made is not None:
         made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from eventide.llm import bagminhash, pii_labelers, registry, subword_quality, toxicity_neighbours
+from eventide.llm import bagminhash, common, pii_labelers, registry, subword_quality, toxicity_neighbours
 from eventide.llm.common import pieces
 
 
@@ -200,6 +200,30 @@ def test_near_duplicates_columns_of_any_name(spark):
     assert sorted(r["doc_id"] for r in kept) == [1, 3] and kept[0].asDict().keys() == set(docs.columns)
 
 
+def test_near_duplicates_stage_few_files(spark, make_docs, tmp_path, monkeypatch):
+    """However many partitions: every file is a launched process, and an executor that launches one is seen at twice its size."""
+    own = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    before = {k: spark.conf.get(k, None) for k in own}
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefgh", k=60)) for _ in range(40)]
+    docs = make_docs([t + tail for t in texts for tail in ("", " z", " y x", "")]).repartition(4)
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = dict(bagminhash.find_near_duplicates(docs).collect())
+        bagminhash.drop_near_duplicates(docs, docs.columns).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(set(got.values())) == 40 and all(c == d // 4 * 4 for d, c in got.items())
+    tables = {p.name: [f.name for f in p.iterdir()] for p in tmp_path.iterdir()}
+    assert {n.split("-")[0] for n in tables} >= {"signed", "representatives", "buckets", "star_pairs", "elements", "star_links", "placed", "inside_links", "kept"}
+    for name, files in tables.items():
+        assert len(files) <= {"signed": 4, "elements": 8, "cross_elements": 8}.get(name.split("-")[0], 2), name
+        assert all(f.startswith("part-") for f in files), name
+
+
 def test_near_duplicates_empty(make_docs):
     assert bagminhash.find_near_duplicates(make_docs([])).count() == 0
     assert bagminhash.drop_near_duplicates(make_docs([]), ["doc_id", "text"]).count() == 0
